@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, sharding
+from . import bpe, media, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,9 +29,23 @@ def op2_text_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.with_image_features(media.with_text_image(docs))
 
 
+def byte_bpe_path() -> str:
+    """The public byte-level vocabulary that op8 and op10 name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded; see bpe.round_trip."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, byte_bpe_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_text_images": op2_text_images,
+    "op10_trie_bpe": op10_trie_bpe,
 }
 
 #: DuckDB SQL where it can express a query; the other queries are tested against brute force in tests/llm.
