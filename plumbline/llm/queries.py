@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, sharding
+from . import bpe, lsh_forest, media, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op2_text_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.with_image_features(media.with_text_image(docs))
 
 
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents; see lsh_forest.near_duplicates."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lsh_forest.near_duplicates(docs, percent=85)
+
+
 def byte_bpe_path() -> str:
     """The public byte-level vocabulary that op8 and op10 name."""
     import public_tokenizers
@@ -45,6 +51,7 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_text_images": op2_text_images,
+    "op3_lsh_forest": op3_lsh_forest,
     "op10_trie_bpe": op10_trie_bpe,
 }
 
