@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lsh_forest, media, sharding
+from . import bpe, lsh_forest, media, prefix_free, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,13 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(docs, percent=85)
 
 
+def op9_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without strings of 400 bytes that repeat anywhere; see prefix_free.without_repeats."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = prefix_free.without_repeats(docs, length=400)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def byte_bpe_path() -> str:
     """The public byte-level vocabulary that op8 and op10 name."""
     import public_tokenizers
@@ -52,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_text_images": op2_text_images,
     "op3_lsh_forest": op3_lsh_forest,
+    "op9_prefix_free": op9_prefix_free,
     "op10_trie_bpe": op10_trie_bpe,
 }
 
