@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lsh_forest, media, prefix_free, sharding
+from . import bpe, lsh_forest, media, packing, prefix_free, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +49,12 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens; see packing.pack."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, byte_bpe_path(), capacity=1024, end=0)
+
+
 def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded; see bpe.round_trip."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_text_images": op2_text_images,
     "op3_lsh_forest": op3_lsh_forest,
+    "op8_harmonic_packing": op8_harmonic_packing,
     "op9_prefix_free": op9_prefix_free,
     "op10_trie_bpe": op10_trie_bpe,
 }
