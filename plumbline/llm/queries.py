@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lsh_forest, media, packing, prefix_free, sharding
+from . import bpe, line_runs, lsh_forest, media, packing, prefix_free, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +49,13 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs; see line_runs.without_repeated_runs."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_runs.without_repeated_runs(docs)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens; see packing.pack."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_text_images": op2_text_images,
     "op3_lsh_forest": op3_lsh_forest,
+    "op6_line_runs": op6_line_runs,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_prefix_free": op9_prefix_free,
     "op10_trie_bpe": op10_trie_bpe,
