@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_runs, lsh_forest, media, packing, prefix_free, sharding
+from . import bpe, gated, line_runs, lsh_forest, media, packing, prefix_free, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +49,20 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> gated.Network:
+    """The network, trained on a bounded sample of the labelled documents (gated.labelled_sample)."""
+    texts, labels = gated.labelled_sample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return gated.train(texts, labels)
+
+
+def op4_gated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; see gated.with_toxicity."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = gated.with_toxicity(docs, toxicity_model(spark, sf_dir))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; see line_runs.without_repeated_runs."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -72,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_text_images": op2_text_images,
     "op3_lsh_forest": op3_lsh_forest,
+    "op4_gated_toxicity": op4_gated_toxicity,
     "op6_line_runs": op6_line_runs,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_prefix_free": op9_prefix_free,

@@ -26,12 +26,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts that lie one after another in raw: start and end of each word [^\\x20\\x09-\\x0D]+, and n + 1 offsets of texts into the words."""
+def words(raw: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that lie one after another in raw: start and end of each word, and n + 1 offsets of texts into the words.
+
+    Words are runs of [^\\x20\\x09-\\x0D], or of the bytes that letters marks.
+    """
     if not len(raw):
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
-    solid = ~_GAP[raw]
+    solid = ~_GAP[raw] if letters is None else letters[raw]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     inner = offsets[:-1][offsets[:-1] < len(raw)]
