@@ -20,7 +20,7 @@ _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), ord("'"), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_GRAM = np.random.default_rng(31).integers(0, 2**64, (3, 257), np.uint64)
+_GRAM = np.random.default_rng(31).integers(0, 2**64, (5, 257), np.uint64)
 
 
 @dataclass
@@ -30,7 +30,7 @@ class Shape:
     window: int = 32
     stride: int = 24
     word_rows: int = 1 << 14
-    gram_rows: int = 1 << 12
+    gram_rows: int = 1 << 15
     width: int = 12  # of word and of character vectors
     hidden: int = 12
     seed: int = 5
@@ -52,14 +52,20 @@ def tokens_of(raw: np.ndarray, offsets: np.ndarray, shape: Shape) -> Tokens:
     starts, ends, at = words(raw, offsets, _LETTERS)
     h = word_hashes(raw, starts, ends)
     _, first, number = np.unique(h, return_index=True, return_inverse=True)
-    # A character row for each byte of a word, with its neighbours inside the word.
+    # Two character rows for each byte of a word: of three bytes around it, and of five. Bytes outside are 256.
     own, sizes = starts[first], (ends - starts)[first]
     i = ragged(own, sizes)
     low = _LOWER[raw].astype(np.int64)
-    left, right = np.where(np.isin(i, own), 256, low[i - 1]), low[np.minimum(i + 1, max(0, len(raw) - 1))]
-    if len(sizes):
-        right[np.cumsum(sizes) - 1] = 256
-    gram = (mix64(_GRAM[0][left] + _GRAM[1][low[i]] + _GRAM[2][right]) % np.uint64(shape.gram_rows)).astype(np.int64)
+    before = ragged(np.zeros(len(sizes), np.int64), sizes)
+    after = np.repeat(sizes, sizes) - 1 - before
+    near = {0: low[i]}
+    for k in (1, 2):
+        near[-k] = np.where(before >= k, low[i - k], 256)
+        near[k] = np.where(after >= k, low[np.minimum(i + k, max(0, len(raw) - 1))], 256)
+    three = sum((_GRAM[k + 2][near[k]] for k in (-1, 0, 1)), np.zeros(len(i), np.uint64))
+    five = three + _GRAM[0][near[-2]] + _GRAM[4][near[2]] + np.uint64(1)
+    gram = (mix64(np.stack([three, five], axis=1).ravel()) % np.uint64(shape.gram_rows)).astype(np.int64)
+    sizes = 2 * sizes
     counts = np.diff(at)
     n = np.where(counts > shape.window, 1 + -(-(counts - shape.window) // shape.stride), (counts > 0).astype(np.int64))
     owner = np.repeat(np.arange(len(counts)), n)
@@ -75,8 +81,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
 
 
+def _gathered(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the values by row, of n rows; negative rows are left out."""
+    o = np.argsort(rows, kind="stable")
+    o = o[np.searchsorted(rows[o], 0) :]
+    out = np.zeros((n, values.shape[1]), np.float32)
+    if len(o):
+        own = rows[o]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        out[own[first]] = np.add.reduceat(values[o], first, axis=0)
+    return out
+
+
 class Network:
-    """Word vector and mean character vector, gated units in both directions, attention, one logit."""
+    """Word and character vectors, gated units in both directions, attention, one logit."""
 
     def __init__(self, shape: Shape) -> None:
         self.shape = shape
@@ -86,18 +104,18 @@ class Network:
         def draw(*size: int, scale: float) -> np.ndarray:
             return (rnd.standard_normal(size) * scale).astype(np.float32)
 
-        self.p = {"word": draw(shape.word_rows, shape.width, scale=0.3), "gram": draw(shape.gram_rows, shape.width, scale=0.3)}
+        self.p = {"word": draw(shape.word_rows, shape.width, scale=0.02), "gram": draw(shape.gram_rows, shape.width, scale=0.02)}
         for way in "fb":
             self.p |= {f"W{way}": draw(d, 3 * h, scale=d**-0.5), f"U{way}": draw(h, 3 * h, scale=h**-0.5), f"c{way}": np.zeros(3 * h, np.float32)}
         self.p |= {"A": draw(2 * h, h, scale=(2 * h) ** -0.5), "a": np.zeros(h, np.float32), "v": draw(h, scale=h**-0.5), "w": draw(2 * h, scale=(2 * h) ** -0.5), "b": np.zeros(1, np.float32)}
         self.prior = 0.5
 
     def vectors(self, t: Tokens) -> np.ndarray:
-        """Inputs of the distinct words."""
+        """Inputs of the distinct words: word vector, and sum of character vectors over the root of their number."""
         if not len(t.word):
             return np.zeros((0, 2 * self.shape.width), np.float32)
-        mean = np.add.reduceat(self.p["gram"][t.gram], np.cumsum(t.grams) - t.grams, axis=0) / t.grams[:, None].astype(np.float32)
-        return np.hstack([self.p["word"][t.word], mean])
+        total = np.add.reduceat(self.p["gram"][t.gram], np.cumsum(t.grams) - t.grams, axis=0)
+        return np.hstack([self.p["word"][t.word], total / np.sqrt(t.grams[:, None], dtype=np.float32)])
 
     def _direction(self, way: str, inputs: np.ndarray, index: np.ndarray, keep: list | None) -> np.ndarray:
         h3, h = self.p[f"U{way}"].shape[1], self.shape.hidden
@@ -142,10 +160,10 @@ class Network:
         g["A"], g["a"] = np.einsum("tbi,tbj->ij", states, by_u), by_u.sum((0, 1))
         by_state = weight[..., None] * into + by_u @ self.p["A"].T
         h = self.shape.hidden
-        back = np.zeros_like(inputs)
+        full = np.vstack([inputs, np.zeros((1, inputs.shape[1]), np.float32)])
+        by_token = np.zeros((index.shape[1], len(index), inputs.shape[1]), np.float32)
         for k, way in enumerate("fb"):
             matrix = self.p[f"U{way}"]
-            table = np.zeros((len(inputs) + 1, 3 * h), np.float32)
             carry = np.zeros((len(index), h), np.float32)
             for t, before, z, r, n, un in reversed(kept["steps"][way]):
                 live = (index[:, t] >= 0)[:, None]
@@ -155,12 +173,11 @@ class Network:
                 dx = np.where(live, np.hstack([dz, dr, dn]), np.float32(0))
                 du = np.where(live, np.hstack([dz, dr, dn * r]), np.float32(0))
                 g[f"U{way}"] += before.T @ du
+                g[f"W{way}"] += full[index[:, t]].T @ dx
+                g[f"c{way}"] += dx.sum(0)
                 carry = np.where(live, d * z, d) + du @ matrix.T
-                np.add.at(table, index[:, t], dx)
-            table = table[:-1]
-            g[f"W{way}"], g[f"c{way}"] = inputs.T @ table, table.sum(0)
-            back += table @ self.p[f"W{way}"].T
-        return g, back
+                by_token[t] += dx @ self.p[f"W{way}"].T
+        return g, _gathered(index.T.ravel(), by_token.reshape(-1, inputs.shape[1]), len(inputs))
 
     def probabilities(self, t: Tokens, batch: int = 4096) -> np.ndarray:
         """The score of each window."""
@@ -185,7 +202,7 @@ def _rows(t: Tokens, chosen: np.ndarray) -> Tokens:
     return Tokens(t.word[used], t.gram[ragged(starts[used], t.grams[used])], t.grams[used], index, t.owner[chosen])
 
 
-def train(texts: list[str], labels: list[int], shape: Shape | None = None, *, epochs: int = 3, rounds: int = 5, batch: int = 128, rate: float = 0.01) -> Network:
+def train(texts: list[str], labels: list[int], shape: Shape | None = None, *, epochs: int = 1, rounds: int = 8, batch: int = 256, rate: float = 0.005, spread: float = 0.05, blind: float = 0.6) -> Network:
     """Fits the network to labelled texts: first windows drawn from all texts under their text's label, then rounds
     on the windows that now score highest in each text (those make its score) and as many drawn ones of clean texts.
     """
@@ -196,27 +213,35 @@ def train(texts: list[str], labels: list[int], shape: Shape | None = None, *, ep
     t = tokens_of(*byte_view(pa.array(texts, pa.string())), shape)
     if not len(t.windows) or len(set(labels)) < 2:
         return net
-    moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in net.p.items()}
+    moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in net.p.items() if k not in ("word", "gram")}
+    seen = {k: np.full(len(net.p[k]), 1e-8, np.float32) for k in ("word", "gram")}
     step = 0
 
+    def adapt(name: str, rows: np.ndarray, values: np.ndarray) -> None:
+        """Vectors move by a rate of their own (adaptive gradient), and only those that occur."""
+        used, own = np.unique(rows, return_inverse=True)
+        g = _gathered(own, values, len(used))
+        seen[name][used] += (g * g).mean(1)
+        net.p[name][used] -= np.float32(spread) * g / np.sqrt(seen[name][used])[:, None]
+
     def fit(chosen: np.ndarray) -> None:
         nonlocal step
         chosen = rnd.permutation(chosen)
         for i in range(0, len(chosen), batch):
             some = _rows(t, chosen[i : i + batch])
             inputs, kept = net.vectors(some), {}
+            keep = (rnd.random(len(inputs)) >= blind).astype(np.float32)[:, None]
+            inputs[:, : shape.width] *= keep  # some words are known by their characters alone
             logits = net.forward(inputs, some.windows, kept)
             error = ((_sigmoid(logits) - y[some.owner]) / len(some.owner)).astype(np.float32)
             g, back = net.backward(inputs, some.windows, kept, error)
-            g["word"], g["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
-            np.add.at(g["word"], some.word, back[:, : shape.width])
-            np.add.at(g["gram"], some.gram, np.repeat(back[:, shape.width :] / some.grams[:, None], some.grams, axis=0).astype(np.float32))
+            adapt("word", some.word, back[:, : shape.width] * keep)
+            adapt("gram", some.gram, np.repeat(back[:, shape.width :] / np.sqrt(some.grams[:, None]), some.grams, axis=0).astype(np.float32))
             step += 1
-            for k, x in net.p.items():
-                m, v = moments[k]
+            for k, (m, v) in moments.items():
                 m += 0.1 * (g[k] - m)
                 v += 0.001 * (g[k] * g[k] - v)
-                x -= np.float32(rate) * (m / np.float32(1 - 0.9**step)) / (np.sqrt(v / np.float32(1 - 0.999**step)) + np.float32(1e-7))
+                net.p[k] -= np.float32(rate) * (m / np.float32(1 - 0.9**step)) / (np.sqrt(v / np.float32(1 - 0.999**step)) + np.float32(1e-7))
 
     every = np.arange(len(t.windows))
     first = np.searchsorted(t.owner, np.arange(len(texts)))
