@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gated, line_runs, lsh_forest, media, packing, prefix_free, sharding
+from . import bpe, curves, gated, line_runs, lsh_forest, media, packing, prefix_free, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op4_gated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of every hundredth vector; see curves.nearest."""
+    return curves.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; see line_runs.without_repeated_runs."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_text_images": op2_text_images,
     "op3_lsh_forest": op3_lsh_forest,
     "op4_gated_toxicity": op4_gated_toxicity,
+    "op5_curve_neighbours": op5_curve_neighbours,
     "op6_line_runs": op6_line_runs,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_prefix_free": op9_prefix_free,
