@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, curves, gated, line_runs, lsh_forest, media, packing, prefix_free, sharding
+from . import bpe, curves, gated, line_runs, lsh_forest, media, packing, pages, prefix_free, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,6 +75,12 @@ def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages; see pages.main_text."""
+    found = pages.main_text(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens; see packing.pack."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_gated_toxicity": op4_gated_toxicity,
     "op5_curve_neighbours": op5_curve_neighbours,
     "op6_line_runs": op6_line_runs,
+    "op7_site_templates": op7_site_templates,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_prefix_free": op9_prefix_free,
     "op10_trie_bpe": op10_trie_bpe,
