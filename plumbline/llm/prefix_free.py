@@ -236,16 +236,27 @@ def repeated_spans(df: DataFrame, *, text: str = "text", length: int = 400, k: i
     return spans.select("key", "size", F.col("s.low").alias("low"), F.col("s.high").alias("high"))
 
 
-def without_repeats(df: DataFrame, *, text: str = "text", length: int = 400, out: str = "kept") -> DataFrame:
+def _to_characters(raw: bytes, low: int, high: int) -> tuple[int, int]:
+    """The whole UTF-8 characters inside [low, high)."""
+    while low < high and raw[low] & 0xC0 == 0x80:
+        low += 1
+    while high > low and high < len(raw) and raw[high] & 0xC0 == 0x80:
+        high -= 1
+    return low, high
+
+
+def without_repeats(df: DataFrame, *, text: str = "text", length: int = 400, out: str = "kept", whole_characters: bool = False, k: int = 16, v: int | None = None) -> DataFrame:
     """Replaces a text column by what stays without repeated strings of the given length, as bytes, with n_bytes,
-    n_removed and n_spans (maximal removed runs). Other columns stay.
+    n_removed and n_spans (maximal removed runs). Other columns stay. With whole_characters, characters that a run
+    covers only in part stay, so that the bytes are valid UTF-8. Triggers are the least of v positions, as many as
+    the length allows if v is not given up to 304.
 
     A null text counts as empty. Equal texts lose the same bytes, so copies of at least that length lose all.
     Texts shorter than the length stay whole. Repeated rows are texts of their own. Names must not clash with key,
     size, low and high.
     """
     others = [f.name for f in df.schema if f.name != text]
-    spans = repeated_spans(df, text=text, length=length)
+    spans = repeated_spans(df, text=text, length=length, k=k, v=min(304, length - k - 40) if v is None else v)
     joined = df.select(*others, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"), F.xxhash64(text).alias("key"), F.octet_length(text).alias("size")).join(spans, ["key", "size"], "left")
     more = [("n_bytes", T.LongType(), pa.int64()), ("n_removed", T.LongType(), pa.int64()), ("n_spans", T.LongType(), pa.int64()), (out, T.BinaryType(), pa.binary())]
     schema = T.StructType([df.schema[c] for c in others] + [T.StructField(n, t) for n, t, _ in more])
@@ -259,12 +270,15 @@ def without_repeats(df: DataFrame, *, text: str = "text", length: int = 400, out
                         rows.append((len(raw), 0, 0, raw))
                         continue
                     a, b, _ = _runs(np.array(low), np.array(high), np.zeros(len(low), np.int64))
+                    runs = list(zip(a.tolist(), b.tolist(), strict=True))
+                    if whole_characters:
+                        runs = [r for x, y in runs if (r := _to_characters(raw, x, y))[0] < r[1]]
                     pieces, at = [], 0
-                    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                    for x, y in runs:
                         pieces.append(raw[at:x])
                         at = y
                     pieces.append(raw[at:])
-                    rows.append((len(raw), int((b - a).sum()), len(a), b"".join(pieces)))
+                    rows.append((len(raw), sum(y - x for x, y in runs), len(runs), b"".join(pieces)))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in others] + [pa.array(list(x), t) for x, (_, _, t) in zip(columns, more, strict=True)], [*others, *(n for n, _, _ in more)])
 
