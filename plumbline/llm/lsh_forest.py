@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import blocks, byte_view, materialise, partitions
 from .components import components
@@ -66,7 +66,8 @@ def _near(rows: dict[str, np.ndarray], window: int, least: int, most_bits: int,
         i = np.flatnonzero(ok)
         j = i + w
         x, y = rows["n"][i], rows["n"][j]
-        bits = np.bitwise_count(rows["s1"][i] ^ rows["s1"][j]).astype(np.int64) + np.bitwise_count(rows["s2"][i] ^ rows["s2"][j])
+        # Of unsigned numbers: of negative ones, bitwise_count takes the absolute value.
+        bits = sum(np.bitwise_count((rows[s][i] ^ rows[s][j]).view(np.uint64)).astype(np.int64) for s in ("s1", "s2"))
         keep = (bits <= most_bits) & (np.minimum(x, y) >= share * np.maximum(x, y)) & (rows["node"][i] != rows["node"][j])
         i, j, bits = i[keep], j[keep], bits[keep]
         p, q = rows["node"][i], rows["node"][j]
@@ -77,13 +78,16 @@ def _near(rows: dict[str, np.ndarray], window: int, least: int, most_bits: int,
 def candidates(nodes: DataFrame, *, window: int, least: int, most_bits: int, share: float) -> DataFrame:
     """Pairs a < b of nodes that are neighbours in some signature order, with the number of sketch bits that differ.
 
-    Each tree sorts all nodes by its labels, over range partitions. A node meets the window rows after it, as far as
+    Each tree sorts all nodes by its labels and, where these are equal, by the next tree's, over range partitions. A node meets the window rows after it, as far as
     they share least labels with it. Sorting puts the longest common prefixes next to it, so the depth that a meeting
     needs adapts: in sparse regions all that share least labels meet, in dense ones those that share the most.
     """
     spark = nodes.sparkSession
-    rows = nodes.select("node", F.col("n_shingles").alias("n"), "s1", "s2", F.posexplode(F.arrays_zip("hi", "lo")).alias("tree", "o")).select("tree", F.col("o.hi").alias("hi"), F.col("o.lo").alias("lo"), "node", "n", "s1", "s2")
-    keys = ["tree", "hi", "lo", "node"]
+    turned = [F.concat(F.slice(c, 2, F.size(c)), F.slice(c, 1, 1)).alias(f"next_{c}") for c in ("hi", "lo")]
+    orders = F.arrays_zip("hi", "lo", *turned)
+    rows = nodes.select("node", F.col("n_shingles").alias("n"), "s1", "s2", F.posexplode(orders).alias("tree", "o"))
+    rows = rows.select("tree", *[F.col(f"o.{c}").alias(c) for c in ("hi", "lo", "next_hi", "next_lo")], "node", "n", "s1", "s2")
+    keys = ["tree", "hi", "lo", "next_hi", "next_lo", "node"]
     placed = rows.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
     names = [*keys, "n", "s1", "s2"]
     schema = "a long, b long, bits long, part int, at long, " + ", ".join(f"{c} {'int' if c == 'tree' else 'long'}" for c in names)
@@ -154,14 +158,17 @@ def near_duplicates(
     trees: int = 16,
     depth: int = 8,
     least: int = 3,
-    window: int = 16,
+    window: int = 32,
+    hubs: int = 8,
 ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
     Documents with equal sets count as one node before any pair is made. Candidates come from the forest; those that
     differ in more sketch bits than a linked pair does (by over four standard deviations) are left out, the others are
     confirmed on their full sets: first the likeliest partner of each node, then every candidate whose ends are still
-    in different components.
+    in different components. In a group of many variants, most are linked to few texts only, such as the common
+    original. So a node that still has candidates in another component meets that component's hubs, its best linked
+    texts, too.
 
     Returns key, n_shingles, component_id (the smallest key in the component) and kept (key = component_id).
     Null or empty texts and texts without words have no shingles and stand alone. Null keys: the document takes part;
@@ -193,9 +200,17 @@ def near_duplicates(
     for c in ("a", "b"):
         placed = placed.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
     apart = placed.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = confirmed(apart, texts, width, percent)
-    edges = reduce(DataFrame.unionAll, [roots.select(F.col("node").alias("a"), F.col("root").alias("b")), more])
-    roots = materialise(components(edges), "roots")
+    links = links.unionAll(materialise(confirmed(apart, texts, width, percent), "links"))
+    roots = materialise(components(links), "roots")
+
+    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+    by_degree = Window.partitionBy("root").orderBy(F.desc("degree"), "node")
+    hub = ends.join(roots, "node").withColumn("i", F.row_number().over(by_degree)).where(F.col("i") <= hubs).select("root", F.col("node").alias("hub"))
+    both = both.join(roots.select("node", "root"), "node", "left").join(roots.select(F.col("node").alias("other"), F.col("root").alias("near")), "other")
+    meets = both.where(~F.col("root").eqNullSafe(F.col("near"))).select("node", F.col("near").alias("root")).distinct().join(hub, "root")
+    meets = meets.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    more = confirmed(meets, texts, width, percent)
+    roots = materialise(components(links.unionAll(more)), "roots")
 
     own = nodes.select("node", "least_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_of = own.groupBy("root").agg(F.min("least_key").alias("component_id"))
