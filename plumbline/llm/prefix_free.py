@@ -5,13 +5,14 @@ phrases, alike wherever the bytes are alike. Every string of the asked length ho
 own bytes decide. Strings of a text whose first and last such trigger agree form one class; the phrases between
 those triggers are the class's core. Only cores, one for some hundred bytes of text, are sorted over the corpus:
 in that order neighbours with the same core, and with the same phrases around it, are occurrences of one string.
-Where the phrases around equal cores differ, the strings of the class are sorted themselves.
+Where the phrases around equal cores differ, shorter runs of the class's strings are sorted, at last single strings.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,10 @@ from .shingles import _powers
 _BLOCK = 2 << 20
 _BYTE = np.random.default_rng(977).integers(0, 2**64, 256, np.uint64)
 _KEYS = "key long, size int"
-_FOUND = "kind int, core long, wide long, key long, size int, low int, high int"
-_NAMES = ["kind", "core", "wide", "key", "size", "low", "high"]
+#: phase: where the class's first trigger lies in steps of _STEP, so that runs of its strings are cut alike in all texts.
+_FOUND = "kind int, core long, wide long, key long, size int, phase int, low int, high int"
+_NAMES = ["kind", "core", "wide", "key", "size", "phase", "low", "high"]
+_STEP = 8
 #: Kinds of rows: a covered interval of a text, a class (or string) to be sorted, one that is known to be repeated.
 COVER, ROW, KNOWN = 0, 1, 2
 
@@ -66,7 +69,7 @@ def classes(raw: np.ndarray, offsets: np.ndarray, length: int, k: int, v: int) -
     starts, ends = offsets[:-1], offsets[1:]
     counts = np.maximum(0, ends - starts - length + 1)
     if span < 0 or not counts.any():
-        return {c: np.zeros(0, np.int64) for c in ("core", "wide", "text", "low", "high")}
+        return {c: np.zeros(0, np.int64) for c in ("core", "wide", "text", "phase", "low", "high")}
     sums, down = _sums(raw)
     at = np.arange(len(raw) - k + 1)
     least = _least_at(_hash(sums, down, at, at + k), v)
@@ -81,23 +84,31 @@ def classes(raw: np.ndarray, offsets: np.ndarray, length: int, k: int, v: int) -
     core = _hash(sums, down, a, b + k)
     wide = mix64(_hash(sums, down, low, high + length) + (a - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + core)
     t = text[i]
-    return {"core": core.view(np.int64), "wide": wide.view(np.int64), "text": t, "low": low - starts[t], "high": high - starts[t]}
+    return {"core": core.view(np.int64), "wide": wide.view(np.int64), "text": t, "phase": (a - starts[t]) % _STEP, "low": low - starts[t], "high": high - starts[t]}
 
 
-def strings(raw: np.ndarray, offsets: np.ndarray, length: int, text: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of the class, start and hash of every string of the classes."""
+def strings(raw: np.ndarray, offsets: np.ndarray, length: int, text: np.ndarray, phase: np.ndarray, low: np.ndarray, high: np.ndarray, step: int) -> dict[str, np.ndarray]:
+    """Classes cut into cells of step starts, as classes() gives them. A cell's core is what all strings that start in it share.
+
+    Cells lie alike around the class's first trigger in every text; at the ends of a class they may be used in part.
+    """
     sums, down = _sums(raw)
-    n = high - low + 1
+    shift = phase % step
+    first, last = (low - shift) // step, (high - shift) // step
+    n = last - first + 1
     which = np.repeat(np.arange(len(n)), n)
-    start = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    at = start + offsets[:-1][text[which]]
-    return which, start, _hash(sums, down, at, at + length).view(np.int64)
+    cell = (np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))) * step + shift[which]
+    start, end = np.maximum(cell, low[which]), np.minimum(cell + step - 1, high[which])
+    at = offsets[:-1][text[which]]
+    core = _hash(sums, down, at + cell + step - 1, at + cell + length)
+    wide = mix64(_hash(sums, down, at + start, at + end + length) + (start - cell).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + core)
+    return {"core": core.view(np.int64), "wide": wide.view(np.int64), "text": text[which], "phase": phase[which], "low": start, "high": end}
 
 
-def _batch(kind, core, wide, key, size, low, high) -> pa.RecordBatch:
+def _batch(kind, core, wide, key, size, phase, low, high) -> pa.RecordBatch:
     n = len(low)
-    arrays = [np.broadcast_to(np.asarray(x), n) for x in (kind, core, wide, key, size, low, high)]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    arrays = [np.broadcast_to(np.asarray(x), n) for x in (kind, core, wide, key, size, phase, low, high)]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, types, strict=True)], _NAMES)
 
 
@@ -115,16 +126,17 @@ def _runs(low: np.ndarray, high: np.ndarray, owner: np.ndarray) -> tuple[np.ndar
     return low[i], (top - group)[np.append(i[1:], len(low)) - 1], owner[i]
 
 
-def _local(core, wide, key, size, low, high, length: int, text: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _local(c: dict[str, np.ndarray], key: np.ndarray, size: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
     """Rows of a block: what is repeated inside it is covered at once and goes on as one known row for each string."""
-    _, first, inverse, counts = np.unique(wide, return_index=True, return_inverse=True, return_counts=True)
+    text, low, high = c["text"], c["low"], c["high"]
+    _, first, inverse, counts = np.unique(c["wide"], return_index=True, return_inverse=True, return_counts=True)
     again = counts[inverse] > 1
     a, b, t = _runs(low[again], high[again] + length, text[again])
     of = np.zeros(int(text.max()) + 1 if len(text) else 0, np.int64)
     own = of.copy()
     of[text], own[text] = key, size
-    yield _batch(COVER, 0, 0, of[t], own[t], a, b)
-    yield _batch(np.where(counts > 1, KNOWN, ROW), core[first], wide[first], key[first], size[first], low[first], high[first])
+    yield _batch(COVER, 0, 0, of[t], own[t], 0, a, b)
+    yield _batch(np.where(counts > 1, KNOWN, ROW), c["core"][first], c["wide"][first], key[first], size[first], c["phase"][first], low[first], high[first])
 
 
 def _first_pass(texts: DataFrame, length: int, k: int, v: int) -> DataFrame:
@@ -135,28 +147,26 @@ def _first_pass(texts: DataFrame, length: int, k: int, v: int) -> DataFrame:
                 c = classes(raw, offsets, length, k, v)
                 key, size = (part.column(x).to_numpy(zero_copy_only=False)[c["text"]] for x in ("key", "size"))
                 if len(key):
-                    yield from _local(c["core"], c["wide"], key, size, c["low"], c["high"], length, c["text"])
+                    yield from _local(c, key, size, length)
 
     return texts.mapInArrow(run, _FOUND)
 
 
-def _string_pass(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """Strings of the open classes of each text, as rows whose core and wide are the string's hash."""
-    asked = open_.groupBy("key", "size").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    joined = texts.join(asked, ["key", "size"]).select("key", "size", "text", F.col("spans.low").alias("low"), F.col("spans.high").alias("high"))
+def _string_pass(texts: DataFrame, open_: DataFrame, length: int, step: int) -> DataFrame:
+    """The open classes of each text, cut into cells of step starts."""
+    asked = open_.groupBy("key", "size").agg(F.collect_set(F.struct("phase", "low", "high")).alias("spans"))
+    joined = texts.join(asked, ["key", "size"]).select("key", "size", "text", *[F.col(f"spans.{c}").alias(c) for c in ("phase", "low", "high")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "text", _BLOCK // 4):
+            for part in blocks(batch, "text", _BLOCK // 2):
                 raw, offsets = byte_view(part.column("text"))
-                lows, highs = part.column("low"), part.column("high")
-                text = np.repeat(np.arange(part.num_rows), np.asarray(lows.value_lengths()))
-                low, high = (np.asarray(x.flatten()).astype(np.int64) for x in (lows, highs))
-                which, start, h = strings(raw, offsets, length, text, low, high)
-                if len(start):
-                    t = text[which]
-                    key, size = (part.column(x).to_numpy(zero_copy_only=False)[t] for x in ("key", "size"))
-                    yield from _local(h, h, key, size, start, start, length, t)
+                text = np.repeat(np.arange(part.num_rows), np.asarray(part.column("low").value_lengths()))
+                phase, low, high = (np.asarray(part.column(x).flatten()).astype(np.int64) for x in ("phase", "low", "high"))
+                c = strings(raw, offsets, length, text, phase, low, high, step)
+                key, size = (part.column(x).to_numpy(zero_copy_only=False)[c["text"]] for x in ("key", "size"))
+                if len(key):
+                    yield from _local(c, key, size, length)
 
     return joined.mapInArrow(run, _FOUND)
 
@@ -214,7 +224,7 @@ def _sorted_pass(rows: DataFrame, length: int, label: str, open_: bool) -> DataF
     return found.where("part < 0").select(*_NAMES).unionAll(edges)
 
 
-def repeated_spans(df: DataFrame, *, text: str = "text", length: int = 400, k: int = 16, v: int = 304) -> DataFrame:
+def repeated_spans(df: DataFrame, *, text: str = "text", length: int = 400, k: int = 16, v: int = 200) -> DataFrame:
     """Of each distinct text, byte intervals covered by a string of that length that starts anywhere else too.
 
     Returns key (xxhash64 of the text), size (its bytes), low and high: sorted arrays of intervals [low, high),
@@ -224,14 +234,15 @@ def repeated_spans(df: DataFrame, *, text: str = "text", length: int = 400, k: i
         raise ValueError("a string must hold a trigger: k + v may not exceed length")
     texts = df.select(F.xxhash64(F.col(text)).alias("key"), F.octet_length(text).alias("size"), F.col(text).cast("binary").alias("text")).where(F.col("size") >= length)
     found = materialise(_first_pass(texts, length, k, v), "phrases")
-    settled = _sorted_pass(found.where(F.col("kind") != COVER), length, "cores", True)
-    open_ = settled.where(F.col("kind") == ROW).select("key", "size", "low", "high").distinct()
-    covers = found.where(F.col("kind") == COVER)
-    again = materialise(_string_pass(texts, open_, length), "strings")
-    settled_again = _sorted_pass(again.where(F.col("kind") != COVER), length, "string-order", False)
-    all_ = covers
-    for more in (settled, again, settled_again):
-        all_ = all_.unionAll(more.where(F.col("kind") == COVER))
+    parts = [found]
+    # Open classes are settled cell by cell, then string by string.
+    for step in (_STEP, 1, 0):
+        settled = _sorted_pass(parts[-1].where(F.col("kind") != COVER), length, f"order-{step}", step > 0)
+        parts.append(settled)
+        if step:
+            open_ = settled.where(F.col("kind") == ROW).select("key", "size", "phase", "low", "high").distinct()
+            parts.append(materialise(_string_pass(texts, open_, length, step), f"strings-{step}"))
+    all_ = reduce(DataFrame.unionAll, [p.where(F.col("kind") == COVER) for p in parts])
     spans = all_.select("key", "size", "low", "high").distinct().groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("s"))
     return spans.select("key", "size", F.col("s.low").alias("low"), F.col("s.high").alias("high"))
 
@@ -248,15 +259,15 @@ def _to_characters(raw: bytes, low: int, high: int) -> tuple[int, int]:
 def without_repeats(df: DataFrame, *, text: str = "text", length: int = 400, out: str = "kept", whole_characters: bool = False, k: int = 16, v: int | None = None) -> DataFrame:
     """Replaces a text column by what stays without repeated strings of the given length, as bytes, with n_bytes,
     n_removed and n_spans (maximal removed runs). Other columns stay. With whole_characters, characters that a run
-    covers only in part stay, so that the bytes are valid UTF-8. Triggers are the least of v positions, as many as
-    the length allows if v is not given up to 304.
+    covers only in part stay, so that the bytes are valid UTF-8. Triggers are the least of v positions,
+    half the length if v is not given: smaller v, more classes; larger v, shorter and less telling cores.
 
     A null text counts as empty. Equal texts lose the same bytes, so copies of at least that length lose all.
     Texts shorter than the length stay whole. Repeated rows are texts of their own. Names must not clash with key,
     size, low and high.
     """
     others = [f.name for f in df.schema if f.name != text]
-    spans = repeated_spans(df, text=text, length=length, k=k, v=min(304, length - k - 40) if v is None else v)
+    spans = repeated_spans(df, text=text, length=length, k=k, v=length // 2 if v is None else v)
     joined = df.select(*others, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"), F.xxhash64(text).alias("key"), F.octet_length(text).alias("size")).join(spans, ["key", "size"], "left")
     more = [("n_bytes", T.LongType(), pa.int64()), ("n_removed", T.LongType(), pa.int64()), ("n_spans", T.LongType(), pa.int64()), (out, T.BinaryType(), pa.binary())]
     schema = T.StructType([df.schema[c] for c in others] + [T.StructField(n, t) for n, t, _ in more])
