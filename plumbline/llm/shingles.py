@@ -47,14 +47,20 @@ def words(raw: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = Non
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, A-Z as a-z."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up, out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 2 << 20) -> np.ndarray:
+    """64-bit hashes of words, A-Z as a-z. Long input goes through in parts of about most bytes, cut between words."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+        part = raw[base : int(ends[to - 1])]
+        up, down = _powers(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * up, out=sums[1:])
+        a, b = starts[at:to] - base, ends[at:to] - base
+        out.append(mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
+        at = to
+    return np.concatenate(out)
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
