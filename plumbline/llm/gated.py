@@ -55,13 +55,12 @@ def tokens_of(raw: np.ndarray, offsets: np.ndarray, shape: Shape) -> Tokens:
     # Two character rows for each byte of a word: of three bytes around it, and of five. Bytes outside are 256.
     own, sizes = starts[first], (ends - starts)[first]
     i = ragged(own, sizes)
-    low = _LOWER[raw].astype(np.int64)
     before = ragged(np.zeros(len(sizes), np.int64), sizes)
     after = np.repeat(sizes, sizes) - 1 - before
-    near = {0: low[i]}
+    near = {0: _LOWER[raw[i]]}
     for k in (1, 2):
-        near[-k] = np.where(before >= k, low[i - k], 256)
-        near[k] = np.where(after >= k, low[np.minimum(i + k, max(0, len(raw) - 1))], 256)
+        near[-k] = np.where(before >= k, _LOWER[raw[i - k]], 256)
+        near[k] = np.where(after >= k, _LOWER[raw[np.minimum(i + k, max(0, len(raw) - 1))]], 256)
     three = sum((_GRAM[k + 2][near[k]] for k in (-1, 0, 1)), np.zeros(len(i), np.uint64))
     five = three + _GRAM[0][near[-2]] + _GRAM[4][near[2]] + np.uint64(1)
     gram = (mix64(np.stack([three, five], axis=1).ravel()) % np.uint64(shape.gram_rows)).astype(np.int64)
