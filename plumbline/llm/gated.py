@@ -48,32 +48,38 @@ class Tokens:
     found: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # words of each text
 
 
-def tokens_of(raw: np.ndarray, offsets: np.ndarray, shape: Shape) -> Tokens:
-    starts, ends, at = words(raw, offsets, _LETTERS)
-    h = word_hashes(raw, starts, ends)
-    _, first, number = np.unique(h, return_index=True, return_inverse=True)
-    # Two character rows for each byte of a word: of three bytes around it, and of five. Bytes outside are 256.
-    own, sizes = starts[first], (ends - starts)[first]
+def _gram_rows(raw: np.ndarray, own: np.ndarray, sizes: np.ndarray, rows: int) -> np.ndarray:
+    """Two character rows for each byte of words: of three bytes around it, and of five. Bytes outside the word are 256."""
     i = ragged(own, sizes)
     before = ragged(np.zeros(len(sizes), np.int64), sizes)
     after = np.repeat(sizes, sizes) - 1 - before
     near = {0: _LOWER[raw[i]]}
     for k in (1, 2):
         near[-k] = np.where(before >= k, _LOWER[raw[i - k]], 256)
-        near[k] = np.where(after >= k, _LOWER[raw[np.minimum(i + k, max(0, len(raw) - 1))]], 256)
+        near[k] = np.where(after >= k, _LOWER[raw[np.minimum(i + k, len(raw) - 1)]], 256)
     three = sum((_GRAM[k + 2][near[k]] for k in (-1, 0, 1)), np.zeros(len(i), np.uint64))
     five = three + _GRAM[0][near[-2]] + _GRAM[4][near[2]] + np.uint64(1)
-    gram = (mix64(np.stack([three, five], axis=1).ravel()) % np.uint64(shape.gram_rows)).astype(np.int64)
-    sizes = 2 * sizes
+    return (mix64(np.stack([three, five], axis=1).ravel()) % np.uint64(rows)).astype(np.int32)
+
+
+def tokens_of(raw: np.ndarray, offsets: np.ndarray, shape: Shape) -> Tokens:
+    starts, ends, at = words(raw, offsets, _LETTERS)
+    h = word_hashes(raw, starts, ends)
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    own, sizes = starts[first], (ends - starts)[first]
+    gram = [np.zeros(0, np.int32)]
+    for k in range(0, len(own), 1 << 15):
+        gram.append(_gram_rows(raw, own[k : k + (1 << 15)], sizes[k : k + (1 << 15)], shape.gram_rows))
+    gram, sizes = np.concatenate(gram), 2 * sizes
     counts = np.diff(at)
     n = np.where(counts > shape.window, 1 + -(-(counts - shape.window) // shape.stride), (counts > 0).astype(np.int64))
     owner = np.repeat(np.arange(len(counts)), n)
     begin = at[:-1][owner] + ragged(np.zeros(len(n), np.int64), n) * shape.stride
     place = begin[:, None] + np.arange(shape.window)
     inside = place < at[1:][owner][:, None]
-    windows = np.where(inside, number[np.minimum(place, max(0, len(number) - 1))] if len(number) else -1, -1)
+    windows = np.where(inside, number[np.minimum(place, max(0, len(number) - 1))] if len(number) else -1, -1).astype(np.int32)
     word = (mix64(h[first]) >> np.uint64(20)) % np.uint64(shape.word_rows)
-    return Tokens(word.astype(np.int64), gram, sizes, windows, owner, counts)
+    return Tokens(word.astype(np.int32), gram, sizes, windows, owner, counts)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -113,8 +119,15 @@ class Network:
         """Inputs of the distinct words: word vector, and sum of character vectors over the root of their number."""
         if not len(t.word):
             return np.zeros((0, 2 * self.shape.width), np.float32)
-        total = np.add.reduceat(self.p["gram"][t.gram], np.cumsum(t.grams) - t.grams, axis=0)
-        return np.hstack([self.p["word"][t.word], total / np.sqrt(t.grams[:, None], dtype=np.float32)])
+        out = np.empty((len(t.word), 2 * self.shape.width), np.float32)
+        out[:, : self.shape.width] = self.p["word"][t.word]
+        starts = np.cumsum(t.grams) - t.grams
+        for i in range(0, len(t.word), 8192):  # a part of the words at a time: their characters' vectors are many
+            j = min(i + 8192, len(t.word))
+            rows = t.gram[starts[i] : starts[j - 1] + t.grams[j - 1]]
+            total = np.add.reduceat(self.p["gram"][rows], starts[i:j] - starts[i], axis=0)
+            out[i:j, self.shape.width :] = total / np.sqrt(t.grams[i:j, None], dtype=np.float32)
+        return out
 
     def _direction(self, way: str, inputs: np.ndarray, index: np.ndarray, keep: list | None) -> np.ndarray:
         h3, h = self.p[f"U{way}"].shape[1], self.shape.hidden
@@ -258,7 +271,7 @@ def train(texts: list[str], labels: list[int], shape: Shape | None = None, *, ep
     return net
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", target: str = "toxic", each: int = 1200) -> tuple[list[str], list[int]]:
+def labelled_sample(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", target: str = "toxic", each: int = 1000) -> tuple[list[str], list[int]]:
     """At most ``each`` labelled texts of either class, those with the least key hashes, without held-out keys.
 
     A key is held out if the CRC-32 of its decimal text leaves 2 modulo 4. Labels and keys that are null don't count.
@@ -277,8 +290,9 @@ def with_toxicity(df: DataFrame, net: Network, *, text: str = "text", out: str =
     """Adds a score between 0 and 1: the highest of all overlapping windows of the whole text.
 
     Null and empty texts and texts without words get the share of toxic texts in training. All rows and columns stay;
-    out must be a free name.
+    a column that had the name out is replaced.
     """
+    df = df.drop(out)
     model = df.sparkSession.sparkContext.broadcast(net)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
