@@ -250,7 +250,8 @@ def tokenizer_source(path: str, most: int = 64 << 20) -> bytes:
 
 
 def encode_column(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Replaces a text column by its token ids (array of int; null text: as empty, which gives no ids). Other columns stay."""
+    """Replaces a text column by its token ids (array of int; null text: as empty, which gives no ids). Other columns stay; one that had the name out is replaced."""
+    df = df if out == text else df.drop(out)
     others = [f.name for f in df.schema if f.name != text]
     schema = T.StructType([df.schema[c] for c in others] + [T.StructField(out, T.ArrayType(T.IntegerType(), False))])
     source = df.sparkSession.sparkContext.broadcast(tokenizer_source(tokenizer))
@@ -268,7 +269,8 @@ def encode_column(df: DataFrame, tokenizer: str, text: str = "text", out: str =
 
 
 def decode_column(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "text") -> DataFrame:
-    """Replaces a column of token ids by their text (invalid UTF-8 as U+FFFD; null ids: null). Other columns stay."""
+    """Replaces a column of token ids by their text (invalid UTF-8 as U+FFFD; null ids: null). Other columns stay; one that had the name out is replaced."""
+    df = df if out == ids else df.drop(out)
     others = [f.name for f in df.schema if f.name != ids]
     schema = T.StructType([df.schema[c] for c in others] + [T.StructField(out, T.StringType())])
     source = df.sparkSession.sparkContext.broadcast(tokenizer_source(tokenizer))
@@ -286,8 +288,10 @@ def round_trip(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """Replaces a text column by digests of its encoding and of what that decodes to, without moving ids between processes.
 
     Adds n_tokens, ids_sha256 and ids_crc32 (ids as little-endian unsigned 32-bit integers) and decoded_sha256 (UTF-8).
-    Null text: as empty. Rows are independent of each other, so ties, repeats and empty tables need no rule.
+    Null text: as empty. Rows are independent of each other, so ties, repeats and empty tables need no rule. Other columns
+    stay; those that had the names of the new ones are replaced.
     """
+    df = df.drop(*({"n_tokens", "ids_sha256", "ids_crc32", "decoded_sha256"} - {text}))
     others = [f.name for f in df.schema if f.name != text]
     schema = T.StructType([df.schema[c] for c in others] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("ids_crc32", T.LongType()), T.StructField("decoded_sha256", T.StringType())])
     source = df.sparkSession.sparkContext.broadcast(tokenizer_source(tokenizer))

@@ -92,6 +92,14 @@ def global_index(df: DataFrame, keys: list[Column], name: str, label: str) -> tu
     return out, start
 
 
+def free_name(taken: list[str], base: str) -> str:
+    """base, with underscores before it while a column has that name."""
+    low = {c.lower() for c in taken}
+    while base.lower() in low:
+        base = f"_{base}"
+    return base
+
+
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Of a string or binary Arrow array: all bytes, and n + 1 offsets into them. A null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -161,8 +161,9 @@ def text_payload(raw: bytes, unit: int = 64) -> bytes:
 def with_text_image(df: DataFrame, text: str = "text", *, width: int = 64, out: str = "media", level: int = 6) -> DataFrame:
     """Replaces a text column by n_bytes and a PNG whose grey samples are the padded UTF-8 bytes, width in a row.
 
-    Null: as empty, which gives one row of zeros. Other columns stay; n_bytes and out must be free names.
+    Null: as empty, which gives one row of zeros. Other columns stay, but for those named n_bytes or as out, which are replaced.
     """
+    df = df.drop(*({"n_bytes", out} - {text}))
     schema = T.StructType([f for f in df.schema if f.name != text] + [T.StructField("n_bytes", T.LongType()), T.StructField(out, T.BinaryType())])
     others = [f.name for f in df.schema if f.name != text]
     wide = df.select(*others, F.coalesce(F.col(text), F.lit("")).cast("binary").alias(text))
@@ -182,9 +183,11 @@ def with_text_image(df: DataFrame, text: str = "text", *, width: int = 64, out:
 def with_image_features(df: DataFrame, media: str = "media", *, unit: int = 64) -> DataFrame:
     """Adds what the stored image holds: payload_bytes, payload_sha256, tail_crc32 (last unit bytes), media_bytes,
     media_sha256 and feature (cosine_hash); drops the image. A null image gives nulls; a damaged one fails the task.
+    Columns that had these names are replaced.
     """
-    others = [f.name for f in df.schema if f.name != media]
     kinds = [("payload_bytes", T.LongType(), pa.int64()), ("payload_sha256", T.StringType(), pa.string()), ("tail_crc32", T.LongType(), pa.int64()), ("media_bytes", T.LongType(), pa.int64()), ("media_sha256", T.StringType(), pa.string()), ("feature", T.StringType(), pa.string())]
+    df = df.drop(*({n for n, _, _ in kinds} - {media}))
+    others = [f.name for f in df.schema if f.name != media]
     schema = T.StructType([df.schema[c] for c in others] + [T.StructField(n, t) for n, t, _ in kinds])
 
     def features(image: bytes | None) -> tuple:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, materialise
+from .common import blocks, free_name, materialise
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -269,8 +269,9 @@ def main_text(df: DataFrame, *, url: str = "url", source: str = "html", out: str
     subtrees on many pages of the host (site_templates) go. Paragraphs and headings of an article are never taken for
     templates. Then menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go,
     by element, role, class or id. Null sources count as empty; null URLs share an empty host. Repeated rows and rows
-    with equal keys are kept. Other columns stay; out, host, page and gone must be free names.
+    with equal keys are kept. Other columns stay; one that had the name out is replaced.
     """
+    df = df if out in (url, source) else df.drop(out)
     others = [f.name for f in df.schema if f.name != source]
     page = F.xxhash64(F.col(url), F.col(source))
     wide = df.select(page.alias("page"), host_of(F.col(url)).alias("host"), F.coalesce(F.col(source), F.lit("")).alias("_source"))
@@ -288,15 +289,17 @@ def main_text(df: DataFrame, *, url: str = "url", source: str = "html", out: str
     parts = materialise(wide.mapInArrow(hashes, "host string, page long, hash long"), "page-parts")
     templates = site_templates(parts, min_pages, share)
     gone = parts.join(templates, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("gone"))
-    joined = df.select(*others, F.coalesce(F.col(source), F.lit("")).alias("_source"), page.alias("page")).join(gone, "page", "left").select(*others, "_source", "gone")
+    own, body, spot = (free_name(others, n) for n in ("page", "source", "gone"))
+    gone = gone.select(F.col("page").alias(own), F.col("gone").alias(spot))
+    joined = df.select(*others, F.coalesce(F.col(source), F.lit("")).alias(body), page.alias(own)).join(gone, own, "left").select(*others, body, spot)
     schema = T.StructType([df.schema[c] for c in others] + [T.StructField(out, T.StringType(), False)])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "_source"):
+            for part in blocks(batch, body):
                 texts = []
-                for own, drop in zip(part.column("_source").to_pylist(), part.column("gone").to_pylist(), strict=True):
-                    top = parse(own)
+                for text, drop in zip(part.column(body).to_pylist(), part.column(spot).to_pylist(), strict=True):
+                    top = parse(text)
                     root = article_of(top)
                     known = set(drop or ())
                     away = {id(x) for x in template_parts(top, root) if subtree_hash(x) in known} if known else set()

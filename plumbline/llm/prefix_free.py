@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, byte_view, materialise, mix64, partitions
+from .common import blocks, byte_view, free_name, materialise, mix64, partitions
 from .shingles import _powers
 
 _BLOCK = 2 << 20
@@ -263,20 +263,22 @@ def without_repeats(df: DataFrame, *, text: str = "text", length: int = 400, out
     half the length if v is not given: smaller v, more classes; larger v, shorter and less telling cores.
 
     A null text counts as empty. Equal texts lose the same bytes, so copies of at least that length lose all.
-    Texts shorter than the length stay whole. Repeated rows are texts of their own. Names must not clash with key,
-    size, low and high.
+    Texts shorter than the length stay whole. Repeated rows are texts of their own. Columns that had the
+    new names are replaced.
     """
+    df = df.drop(*({"n_bytes", "n_removed", "n_spans", out} - {text}))
     others = [f.name for f in df.schema if f.name != text]
-    spans = repeated_spans(df, text=text, length=length, k=k, v=length // 2 if v is None else v)
-    joined = df.select(*others, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"), F.xxhash64(text).alias("key"), F.octet_length(text).alias("size")).join(spans, ["key", "size"], "left")
+    key, size, low_, high_, body = (free_name(others, n) for n in ("key", "size", "low", "high", "body"))
+    spans = repeated_spans(df, text=text, length=length, k=k, v=length // 2 if v is None else v).toDF(key, size, low_, high_)
+    joined = df.select(*others, F.coalesce(F.col(text), F.lit("")).cast("binary").alias(body), F.xxhash64(text).alias(key), F.octet_length(text).alias(size)).join(spans, [key, size], "left")
     more = [("n_bytes", T.LongType(), pa.int64()), ("n_removed", T.LongType(), pa.int64()), ("n_spans", T.LongType(), pa.int64()), (out, T.BinaryType(), pa.binary())]
     schema = T.StructType([df.schema[c] for c in others] + [T.StructField(n, t) for n, t, _ in more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "_text"):
+            for part in blocks(batch, body):
                 rows = []
-                for raw, low, high in zip(*(part.column(c).to_pylist() for c in ("_text", "low", "high")), strict=True):
+                for raw, low, high in zip(*(part.column(c).to_pylist() for c in (body, low_, high_)), strict=True):
                     if low is None:
                         rows.append((len(raw), 0, 0, raw))
                         continue
@@ -293,4 +295,4 @@ def without_repeats(df: DataFrame, *, text: str = "text", length: int = 400, out
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in others] + [pa.array(list(x), t) for x, (_, _, t) in zip(columns, more, strict=True)], [*others, *(n for n, _, _ in more)])
 
-    return joined.select(*others, "_text", "low", "high").mapInArrow(run, schema)
+    return joined.select(*others, body, low_, high_).mapInArrow(run, schema)
