@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import gated, line_runs, lsh_forest, packing, prefix_free
-from plumbline.llm.common import materialise
+from plumbline.llm.common import free_name, materialise
 from plumbline.llm.queries import byte_bpe_path, toxicity_model
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,8 +23,9 @@ def _as_documents(df: DataFrame, like: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the gated network scores below 0.3; those without words stay."""
-    scored = gated.with_toxicity(docs, toxicity_model(spark, sf_dir), out="_score")
-    return scored.where((F.col("_score") < 0.3) | (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0)).select(*docs.columns)
+    score = free_name(docs.columns, "score")
+    scored = gated.with_toxicity(docs, toxicity_model(spark, sf_dir), out=score)
+    return scored.where((F.col(score) < 0.3) | (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,19 +36,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8): the one with the least doc_id."""
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    groups = lsh_forest.near_duplicates(rows, key="_row").select("_row", "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
-    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("m"))
-    return rows.join(first.select(F.col("m.r").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    row = free_name(docs.columns, "row")
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    groups = lsh_forest.near_duplicates(rows, key=row, percent=80).select(row, "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r"))
+    first = groups.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(order).alias("m"))
+    return rows.join(first.select(F.col("m.r").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without strings of 200 bytes (some 40 to 50 words) that repeat; documents that lose all go."""
-    kept = prefix_free.without_repeats(docs, length=200, out="_kept", whole_characters=True)
-    text = F.when((F.col("n_bytes") > 0) | F.col("_kept").isNull(), F.col("_kept").cast("string")).otherwise(F.lit(""))
-    kept = kept.where((F.col("n_removed") == 0) | (F.trim(F.col("_kept").cast("string")) != "")).withColumn("text", text)
-    return _as_documents(kept, docs)
+    kept = prefix_free.without_repeats(docs, length=200, out="text", whole_characters=True).withColumn("text", F.col("text").cast("string"))
+    return _as_documents(kept.where((F.col("n_removed") == 0) | (F.trim("text") != "")), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
