@@ -92,6 +92,21 @@ def global_index(df: DataFrame, keys: list[Column], name: str, label: str) -> tu
     return out, start
 
 
+def with_keys(df: DataFrame, keys: DataFrame, name: str, most: int = 2_000_000) -> DataFrame:
+    """Rows of df whose long column name is among the distinct keys; a null key matches nothing.
+
+    Up to ``most`` keys (counted first; 8 bytes each) are broadcast, so that the rows aren't shuffled; more are joined by shuffle.
+    """
+    few = keys.count() <= most
+    return df.join(F.broadcast(keys) if few else keys, name, "left_semi")
+
+
+def without_keys(df: DataFrame, keys: DataFrame, name: str, most: int = 2_000_000) -> DataFrame:
+    """The other rows."""
+    few = keys.count() <= most
+    return df.join(F.broadcast(keys) if few else keys, name, "left_anti")
+
+
 def free_name(taken: list[str], base: str) -> str:
     """base, with underscores before it while a column has that name."""
     low = {c.lower() for c in taken}

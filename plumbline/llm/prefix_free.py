@@ -22,20 +22,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, byte_view, free_name, materialise, mix64, partitions
+from .common import blocks, byte_view, drop_table, free_name, materialise, materialise_at, mix64, partitions, with_keys, without_keys
 from .shingles import _powers
 
 _BLOCK = 2 << 20
 _BYTE = np.random.default_rng(977).integers(0, 2**64, 256, np.uint64)
-_KEYS = "key long, size int"
-#: phase: where the class's first trigger lies in steps of _STEP, so that runs of its strings are cut alike in all texts.
-_FOUND = "kind int, core long, wide long, key long, size int, phase int, low int, high int"
-_NAMES = ["kind", "core", "wide", "key", "size", "phase", "low", "high"]
+#: place: first start of a class, how many more it has, its phase (where the class's first trigger lies in steps of
+#: _STEP, so that its strings are cut alike in all texts) and its kind, in one number.
+_FOUND = "core long, wide long, key long, place long"
+_NAMES = ["core", "wide", "key", "place"]
 _STEP = 8
 #: Kinds of rows: a covered interval of a text, a class (or string) to be sorted, one that is known to be repeated.
 COVER, ROW, KNOWN = 0, 1, 2
 
 
+def _place(low, more, phase, kind):
+    return (((np.asarray(low, np.int64) << 28) + more << 3) + phase << 2) + kind
+
+
+def _low(place):
+    return place >> 33
+
+
+def _more(place):
+    return (place >> 5) & ((1 << 28) - 1)
+
+
+def _kind(column: str = "place"):
+    return F.col(column).bitwiseAND(F.lit(3))
+
+
 def _sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
@@ -105,11 +121,9 @@ def strings(raw: np.ndarray, offsets: np.ndarray, length: int, text: np.ndarray,
     return {"core": core.view(np.int64), "wide": wide.view(np.int64), "text": text[which], "phase": phase[which], "low": start, "high": end}
 
 
-def _batch(kind, core, wide, key, size, phase, low, high) -> pa.RecordBatch:
-    n = len(low)
-    arrays = [np.broadcast_to(np.asarray(x), n) for x in (kind, core, wide, key, size, phase, low, high)]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, types, strict=True)], _NAMES)
+def _batch(core, wide, key, place) -> pa.RecordBatch:
+    n = len(place)
+    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(x), n), pa.int64()) for x in (core, wide, key, place)], _NAMES)
 
 
 def _runs(low: np.ndarray, high: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,17 +140,18 @@ def _runs(low: np.ndarray, high: np.ndarray, owner: np.ndarray) -> tuple[np.ndar
     return low[i], (top - group)[np.append(i[1:], len(low)) - 1], owner[i]
 
 
-def _local(c: dict[str, np.ndarray], key: np.ndarray, size: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a block: what is repeated inside it is covered at once and goes on as one known row for each string."""
+def _local(c: dict[str, np.ndarray], keys: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a block: what is repeated inside it is covered at once and goes on as one known row for each string.
+
+    A cover's number of further starts reaches over its last string, so that low + more is its end.
+    """
     text, low, high = c["text"], c["low"], c["high"]
     _, first, inverse, counts = np.unique(c["wide"], return_index=True, return_inverse=True, return_counts=True)
     again = counts[inverse] > 1
     a, b, t = _runs(low[again], high[again] + length, text[again])
-    of = np.zeros(int(text.max()) + 1 if len(text) else 0, np.int64)
-    own = of.copy()
-    of[text], own[text] = key, size
-    yield _batch(COVER, 0, 0, of[t], own[t], 0, a, b)
-    yield _batch(np.where(counts > 1, KNOWN, ROW), c["core"][first], c["wide"][first], key[first], size[first], c["phase"][first], low[first], high[first])
+    yield _batch(0, 0, keys[t], _place(a, b - a, 0, COVER))
+    kind = np.where(counts > 1, KNOWN, ROW)
+    yield _batch(c["core"][first], c["wide"][first], keys[text[first]], _place(low[first], (high - low)[first], c["phase"][first], kind))
 
 
 def _first_pass(texts: DataFrame, length: int, k: int, v: int) -> DataFrame:
@@ -145,28 +160,27 @@ def _first_pass(texts: DataFrame, length: int, k: int, v: int) -> DataFrame:
             for part in blocks(batch, "text", _BLOCK):
                 raw, offsets = byte_view(part.column("text"))
                 c = classes(raw, offsets, length, k, v)
-                key, size = (part.column(x).to_numpy(zero_copy_only=False)[c["text"]] for x in ("key", "size"))
-                if len(key):
-                    yield from _local(c, key, size, length)
+                if len(c["text"]):
+                    yield from _local(c, part.column("key").to_numpy(), length)
 
     return texts.mapInArrow(run, _FOUND)
 
 
 def _string_pass(texts: DataFrame, open_: DataFrame, length: int, step: int) -> DataFrame:
     """The open classes of each text, cut into cells of step starts."""
-    asked = open_.groupBy("key", "size").agg(F.collect_set(F.struct("phase", "low", "high")).alias("spans"))
-    joined = texts.join(asked, ["key", "size"]).select("key", "size", "text", *[F.col(f"spans.{c}").alias(c) for c in ("phase", "low", "high")])
+    asked = materialise(open_.groupBy("key").agg(F.collect_set("place").alias("places")), "open")
+    joined = with_keys(texts, asked.select("key"), "key").join(asked, "key").select("key", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text", _BLOCK // 2):
                 raw, offsets = byte_view(part.column("text"))
-                text = np.repeat(np.arange(part.num_rows), np.asarray(part.column("low").value_lengths()))
-                phase, low, high = (np.asarray(part.column(x).flatten()).astype(np.int64) for x in ("phase", "low", "high"))
-                c = strings(raw, offsets, length, text, phase, low, high, step)
-                key, size = (part.column(x).to_numpy(zero_copy_only=False)[c["text"]] for x in ("key", "size"))
-                if len(key):
-                    yield from _local(c, key, size, length)
+                text = np.repeat(np.arange(part.num_rows), np.asarray(part.column("places").value_lengths()))
+                place = np.asarray(part.column("places").flatten())
+                low = _low(place)
+                c = strings(raw, offsets, length, text, (place >> 2) & 7, low, low + _more(place), step)
+                if len(c["text"]):
+                    yield from _local(c, part.column("key").to_numpy(), length)
 
     return joined.mapInArrow(run, _FOUND)
 
@@ -174,25 +188,26 @@ def _string_pass(texts: DataFrame, open_: DataFrame, length: int, step: int) ->
 def _settle(rows: pd.DataFrame, length: int, open_: bool) -> Iterator[pd.DataFrame]:
     """Rows in order of (core, wide, ...): what is covered (kind COVER), and the classes that stay open (kind ROW)."""
     n = len(rows)
-    core, wide = rows["core"].to_numpy(), rows["wide"].to_numpy()
+    core, wide, place = (rows[c].to_numpy() for c in ("core", "wide", "place"))
+    kind = place & 3
     same = np.zeros(n + 1, bool)
     same[1:n] = wide[1:] == wide[:-1]
-    again = same[:-1] | same[1:] | (rows["kind"].to_numpy() == KNOWN)
     # A known row was covered where it was found.
-    cover = again & (rows["kind"].to_numpy() == ROW)
-    yield rows[cover].assign(kind=COVER, high=rows["high"][cover] + length, core=0, wide=0)
+    cover = (same[:-1] | same[1:]) & (kind == ROW)
+    yield rows[cover].assign(core=0, wide=0, place=_place(_low(place[cover]), _more(place[cover]) + length, 0, COVER))
     if open_:
         kin = np.zeros(n + 1, bool)
         kin[1:n] = (core[1:] == core[:-1]) & (wide[1:] != wide[:-1])
-        yield rows[kin[:-1] | kin[1:]].assign(kind=ROW)
+        stay = kin[:-1] | kin[1:]
+        yield rows[stay].assign(core=0, wide=0, place=place[stay] - kind[stay] + ROW)
 
 
-def _sorted_pass(rows: DataFrame, length: int, label: str, open_: bool) -> DataFrame:
+def _sorted_pass(rows: DataFrame, length: int, label: str, open_: bool) -> tuple[DataFrame, str]:
     """Sorts rows over range partitions and settles them; the ends of neighbouring partitions meet in a last small step."""
-    order = ["core", "wide", "key", "low"]
+    order = ["core", "wide", "key", "place"]
     placed = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
-    schema = _FOUND + ", part int, place int"
-    columns = [*_NAMES, "part", "place"]
+    schema = _FOUND + ", part int, end int"
+    columns = [*_NAMES, "part", "end"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, last, any_ = TaskContext.get().partitionId(), None, False
@@ -200,51 +215,53 @@ def _sorted_pass(rows: DataFrame, length: int, label: str, open_: bool) -> DataF
             if not len(frame):
                 continue
             if not any_:
-                yield frame.iloc[:1].assign(part=part, place=0)[columns]
+                yield frame.iloc[:1].assign(part=part, end=0)[columns]
             any_ = True
             # The last row stays to meet the next batch. Meeting a row twice does no harm: intervals are united later.
             both = frame if last is None else pd.concat([last, frame], ignore_index=True)
             for out in _settle(both, length, open_):
-                yield out.assign(part=-1, place=0)[columns]
+                yield out.assign(part=-1, end=0)[columns]
             last = both.iloc[-1:]
         if any_:
-            yield last.assign(part=part, place=1)[columns]
+            yield last.assign(part=part, end=1)[columns]
 
-    found = materialise(placed.select(*_NAMES).mapInPandas(run, schema), label)
+    found, path = materialise_at(placed.select(*_NAMES).mapInPandas(run, schema), label)
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         all_ = [f for f in frames if len(f)]
         if all_:
             # First and last row of each partition; a partition with one row counts once.
-            ends = pd.concat(all_).sort_values(["part", "place"]).drop_duplicates(["part", *_NAMES])
+            ends = pd.concat(all_).sort_values(["part", "end"]).drop_duplicates(["part", *_NAMES])
             for out in _settle(ends[_NAMES].reset_index(drop=True), length, open_):
                 yield out[_NAMES]
 
-    edges = found.where("part >= 0").select("part", "place", *_NAMES).coalesce(1).mapInPandas(meet, _FOUND)
-    return found.where("part < 0").select(*_NAMES).unionAll(edges)
+    edges = found.where("part >= 0").select("part", "end", *_NAMES).coalesce(1).mapInPandas(meet, _FOUND)
+    return found.where("part < 0").select(*_NAMES).unionAll(edges), path
 
 
-def repeated_spans(df: DataFrame, *, text: str = "text", length: int = 400, k: int = 16, v: int = 200) -> DataFrame:
+def repeated_spans(df: DataFrame, *, text: str = "text", length: int = 400, k: int = 16, v: int = 240) -> DataFrame:
     """Of each distinct text, byte intervals covered by a string of that length that starts anywhere else too.
 
-    Returns key (xxhash64 of the text), size (its bytes), low and high: sorted arrays of intervals [low, high),
-    which may overlap. Texts without such a string don't appear.
+    Returns key (xxhash64 of the text) and places: intervals as numbers (_low, and _more bytes from there), which may
+    overlap. Texts without such a string don't appear.
     """
     if k + v > length:
         raise ValueError("a string must hold a trigger: k + v may not exceed length")
-    texts = df.select(F.xxhash64(F.col(text)).alias("key"), F.octet_length(text).alias("size"), F.col(text).cast("binary").alias("text")).where(F.col("size") >= length)
-    found = materialise(_first_pass(texts, length, k, v), "phrases")
-    parts = [found]
-    # Open classes are settled cell by cell, then string by string.
+    spark = df.sparkSession
+    texts = df.where(F.octet_length(text) >= length).select(F.xxhash64(F.col(text)).alias("key"), F.col(text).cast("binary").alias("text"))
+    found, path = materialise_at(_first_pass(texts, length, k, v), "phrases")
+    covers = []
+    # Open classes are settled cell by cell, then string by string. Each table goes when what it covers is taken out.
     for step in (_STEP, 1, 0):
-        settled = _sorted_pass(parts[-1].where(F.col("kind") != COVER), length, f"order-{step}", step > 0)
-        parts.append(settled)
+        covers.append(materialise(found.where(_kind() == COVER).select("key", "place"), "covers"))
+        settled, sorted_path = _sorted_pass(found.where(_kind() != COVER), length, f"order-{step}", step > 0)
+        covers.append(materialise(settled.where(_kind() == COVER).select("key", "place"), "covers"))
+        drop_table(spark, path)
         if step:
-            open_ = settled.where(F.col("kind") == ROW).select("key", "size", "phase", "low", "high").distinct()
-            parts.append(materialise(_string_pass(texts, open_, length, step), f"strings-{step}"))
-    all_ = reduce(DataFrame.unionAll, [p.where(F.col("kind") == COVER) for p in parts])
-    spans = all_.select("key", "size", "low", "high").distinct().groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("s"))
-    return spans.select("key", "size", F.col("s.low").alias("low"), F.col("s.high").alias("high"))
+            open_ = settled.where(_kind() == ROW).select("key", "place").distinct()
+            found, path = materialise_at(_string_pass(texts, open_, length, step), f"strings-{step}")
+        drop_table(spark, sorted_path)
+    return materialise(reduce(DataFrame.unionAll, covers).distinct().groupBy("key").agg(F.collect_list("place").alias("places")), "spans")
 
 
 def _to_characters(raw: bytes, low: int, high: int) -> tuple[int, int]:
@@ -260,7 +277,7 @@ def without_repeats(df: DataFrame, *, text: str = "text", length: int = 400, out
     """Replaces a text column by what stays without repeated strings of the given length, as bytes, with n_bytes,
     n_removed and n_spans (maximal removed runs). Other columns stay. With whole_characters, characters that a run
     covers only in part stay, so that the bytes are valid UTF-8. Triggers are the least of v positions,
-    half the length if v is not given: smaller v, more classes; larger v, shorter and less telling cores.
+    three fifths of the length if v is not given: smaller v, more classes; larger v, shorter and less telling cores.
 
     A null text counts as empty. Equal texts lose the same bytes, so copies of at least that length lose all.
     Texts shorter than the length stay whole. Repeated rows are texts of their own. Columns that had the
@@ -268,9 +285,13 @@ def without_repeats(df: DataFrame, *, text: str = "text", length: int = 400, out
     """
     df = df.drop(*({"n_bytes", "n_removed", "n_spans", out} - {text}))
     others = [f.name for f in df.schema if f.name != text]
-    key, size, low_, high_, body = (free_name(others, n) for n in ("key", "size", "low", "high", "body"))
-    spans = repeated_spans(df, text=text, length=length, k=k, v=length // 2 if v is None else v).toDF(key, size, low_, high_)
-    joined = df.select(*others, F.coalesce(F.col(text), F.lit("")).cast("binary").alias(body), F.xxhash64(text).alias(key), F.octet_length(text).alias(size)).join(spans, [key, size], "left")
+    key, places, body = (free_name(others, n) for n in ("key", "places", "body"))
+    spans = repeated_spans(df, text=text, length=length, k=k, v=length * 3 // 5 if v is None else v).toDF(key, places)
+    whole = df.select(*others, F.coalesce(F.col(text), F.lit("")).cast("binary").alias(body), F.xxhash64(text).alias(key))
+    # Texts that lose nothing stay where they are.
+    hit = with_keys(whole, spans.select(key), key).join(spans, key)
+    rest = without_keys(whole, spans.select(key), key).withColumn(places, F.lit(None).cast("array<long>"))
+    joined = hit.select(*others, body, places).unionAll(rest.select(*others, body, places))
     more = [("n_bytes", T.LongType(), pa.int64()), ("n_removed", T.LongType(), pa.int64()), ("n_spans", T.LongType(), pa.int64()), (out, T.BinaryType(), pa.binary())]
     schema = T.StructType([df.schema[c] for c in others] + [T.StructField(n, t) for n, t, _ in more])
 
@@ -278,11 +299,13 @@ def without_repeats(df: DataFrame, *, text: str = "text", length: int = 400, out
         for batch in batches:
             for part in blocks(batch, body):
                 rows = []
-                for raw, low, high in zip(*(part.column(c).to_pylist() for c in (body, low_, high_)), strict=True):
-                    if low is None:
+                for raw, held in zip(*(part.column(c).to_pylist() for c in (body, places)), strict=True):
+                    if held is None:
                         rows.append((len(raw), 0, 0, raw))
                         continue
-                    a, b, _ = _runs(np.array(low), np.array(high), np.zeros(len(low), np.int64))
+                    held = np.array(held, np.int64)
+                    low = _low(held)
+                    a, b, _ = _runs(low, low + _more(held), np.zeros(len(low), np.int64))
                     runs = list(zip(a.tolist(), b.tolist(), strict=True))
                     if whole_characters:
                         runs = [r for x, y in runs if (r := _to_characters(raw, x, y))[0] < r[1]]
@@ -295,4 +318,4 @@ def without_repeats(df: DataFrame, *, text: str = "text", length: int = 400, out
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in others] + [pa.array(list(x), t) for x, (_, _, t) in zip(columns, more, strict=True)], [*others, *(n for n, _, _ in more)])
 
-    return joined.select(*others, body, low_, high_).mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
