@@ -50,3 +50,24 @@ def in_winter(d: Column) -> Column:
 def before_deadline(d: Column, north: Column) -> Column:
     """Strictly before 1 October in the north, 15 October elsewhere; the year doesn't count."""
     return month_day(d) < F.when(north, 1001).otherwise(1015)
+
+
+def hours_to_days(hours: Column, per_day: Column) -> Column:
+    """Days of a number of hours, halves to even; eight hours a day where none are given."""
+    return F.bround(hours / F.when(F.coalesce(per_day, F.lit(0.0)) == 0, 8.0).otherwise(per_day)).cast("int")
+
+
+def long_date(text: Column) -> Column:
+    """A date as 'January 5, 2024', '5 January 2024', '1/5/2024' or '2024-01-05', tried in that order; else null."""
+    t = F.trim(text)
+    return F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in ("MMMM d, yyyy", "d MMMM yyyy", "M/d/yyyy", "yyyy-MM-dd")]).cast("date")
+
+
+def effective_date(day: Column, code: Column) -> Column:
+    """A week later where the code says urgent."""
+    return F.when(code == "U", F.date_add(day, 7)).otherwise(day)
+
+
+def serial_date(n: Column) -> Column:
+    """The date of a spreadsheet day number."""
+    return F.date_add(F.lit("1899-12-30").cast("date"), n.cast("int"))

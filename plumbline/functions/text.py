@@ -158,3 +158,49 @@ def coordinate(text: Column) -> Column:
     letter = F.upper(F.regexp_extract(text, r"(?:^|[^A-Za-z])([NSEWnsew])(?:[^A-Za-z]|$)", 1))
     negative = letter.isin("S", "W") | text.rlike(r"^\s*-") | ((letter == "") & value.between(73, 76))
     return F.when(negative, -value).otherwise(value)
+
+
+def section_of_table(table_id: Column) -> Column:
+    """The section of a table number: without its -n suffix."""
+    return F.regexp_replace(table_id, r"-\d+$", "")
+
+
+def without_fence(text: Column) -> Column:
+    """The body of a fenced block, else the trimmed text."""
+    body = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    return F.when(body != "", body).otherwise(F.trim(text))
+
+
+def plain_key(key: Column) -> Column:
+    """The last part of a dotted key, in lower case."""
+    return F.lower(F.substring_index(key, ".", -1))
+
+
+def short_list(items: Column, k: int = 4) -> Column:
+    """The first k items with how many more there are; a dash for none."""
+    more = F.when(F.size(items) > k, F.concat(F.lit(" +"), (F.size(items) - k).cast("string"))).otherwise("")
+    return F.when(F.size(items) == 0, "—").otherwise(F.concat(F.array_join(F.slice(items, 1, k), ", "), more))
+
+
+def numbered_lines(text: Column) -> Column:
+    """The bodies of lines that begin with a number and a point."""
+    return F.regexp_extract_all(text, F.lit(r"(?m)^\d+\.\s+(.+)$"), F.lit(1))
+
+
+def federal_number(text: Column) -> Column:
+    """The first federal project number of a text; null without one."""
+    return F.nullif(F.regexp_extract(text, r"\b([A-Z]{2,4}-\d{4}\(\d{3}\))", 1), F.lit(""))
+
+
+def preview(text: Column, n: int = 300) -> Column:
+    return F.when(F.char_length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
+
+
+def text_layer(text: Column) -> Column:
+    """The first 4000 characters of a page with at least 40; else null."""
+    return F.when(F.char_length(F.trim(text)) >= 40, F.substring(text, 1, 4000))
+
+
+def conflicting(a: Column, b: Column) -> Column:
+    """Whether two sources are both there and differ."""
+    return F.coalesce(a.isNotNull() & b.isNotNull() & (a != b), F.lit(False))
