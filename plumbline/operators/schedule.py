@@ -106,8 +106,10 @@ def critical_path(activities: DataFrame, links: DataFrame, calendars: DataFrame)
     many activities do not meet others in memory.
     """
     known = {r["calendar_id"]: (list(r["weekdays"] or []), list(r["exceptions"] or []), list(r["overrides"] or [])) for r in calendars.limit(1000).collect()}
-    nested = links.groupBy("project_id").agg(F.collect_list(F.struct("pred", "succ", "rel_type", "lag_days")).alias("links"))
-    own = activities.groupBy("project_id").agg(F.collect_list(F.struct("task_id", "duration", "calendar_id", "constraint_type", "constraint_date", "start")).alias("acts"))
+    # Dealt by project once, for the lists, their join and the passes; a fixed number keeps small inputs from one task.
+    n = int(activities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nested = links.repartition(n, "project_id").groupBy("project_id").agg(F.collect_list(F.struct("pred", "succ", "rel_type", "lag_days")).alias("links"))
+    own = activities.repartition(n, "project_id").groupBy("project_id").agg(F.collect_list(F.struct("task_id", "duration", "calendar_id", "constraint_type", "constraint_date", "start")).alias("acts"))
     both = own.join(nested, "project_id", "left")
 
     def run(frames):
