@@ -413,7 +413,7 @@ def library():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=list("abcdeT  'sé漢١²½_-!?\n\t\r\x1c\x85　\xa0Ⅷ😀") + ["<|endoftext|>", " don't", "'ll", "  \n"], max_size=30).map("".join), max_size=5))
+@given(st.lists(st.lists(st.sampled_from([*"abcdeT  'sé漢١²½_-!?\n\t\r\x1c\x85　\xa0Ⅷ😀", "<|endoftext|>", " don't", "'ll", "  \n"]), max_size=30).map("".join), max_size=5))
 def test_codec_equals_the_library(library, texts):
     codec = bpe.codec_of(bpe.tokenizer_source(byte_bpe_path()))
     for t, run in zip(texts, codec.encode(texts), strict=True):
