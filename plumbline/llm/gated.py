@@ -214,9 +214,10 @@ def _rows(t: Tokens, chosen: np.ndarray) -> Tokens:
     return Tokens(t.word[used], t.gram[ragged(starts[used], t.grams[used])], t.grams[used], index, t.owner[chosen])
 
 
-def train(texts: list[str], labels: list[int], shape: Shape | None = None, *, epochs: int = 1, rounds: int = 8, batch: int = 256, rate: float = 0.005, spread: float = 0.05, blind: float = 0.6) -> Network:
+def train(texts: list[str], labels: list[int], shape: Shape | None = None, *, epochs: int = 1, rounds: int = 8, batch: int = 256, rate: float = 0.005, spread: float = 0.05, blind: float = 0.6, least_steps: int = 150) -> Network:
     """Fits the network to labelled texts: first windows drawn from all texts under their text's label, then rounds
     on the windows that now score highest in each text (those make its score) and as many drawn ones of clean texts.
+    Few texts get more rounds, until there were least_steps steps.
     """
     shape = shape or Shape()
     net, rnd = Network(shape), np.random.default_rng(shape.seed + 1)
@@ -261,7 +262,9 @@ def train(texts: list[str], labels: list[int], shape: Shape | None = None, *, ep
         few = rnd.permutation(every)
         order = few[np.argsort(t.owner[few], kind="stable")]
         fit(order[(np.arange(len(order)) - first[t.owner[order]]) < 12])
-    for _ in range(rounds):
+    done = 0
+    while done < rounds or step < least_steps:
+        done += 1
         p = net.probabilities(t)
         order = np.lexsort((-p, t.owner))
         rank = np.arange(len(order)) - first[t.owner[order]]
