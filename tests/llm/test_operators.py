@@ -294,6 +294,17 @@ def test_line_runs_match_brute_force(spark):
     assert out[100]["text"] == ""
 
 
+def test_line_runs_whose_parts_first_stand_elsewhere(spark):
+    a, b, c = "one two three four", "five six seven eight", "nine ten eleven twelve"
+    made = [(0, f"{b}\n{c}"), (1, f"{a}\n{b}"), (2, f"{a}\n{b}\n{c}\n\n"), (3, f"own\n{a}\n{b}\n{c}\n\nend"), (4, f"own too\n\n{c}")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    for floor in (1, 4, 10):
+        want = lines_by_force(made, floor)
+        out = {r["doc_id"]: r["text"] for r in line_runs.without_repeated_runs(df, min_words=floor).collect()}
+        assert out == {k: "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in want) for k, t in made}
+        assert out[3] == "own\nend"
+
+
 def test_line_runs_of_odd_rows(spark, odd, empty):
     out = line_runs.without_repeated_runs(clashing(odd, "gone", "own", "row", "n_lines"), min_words=1).collect()
     assert len(out) == len(ODD) and [r["text"] for r in out if r["doc_id"] == 1] == [None]
