@@ -69,9 +69,9 @@ def op5_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; see line_runs.without_repeated_runs."""
+    """Documents without later copies of all repeated non-blank line runs; see line_runs.without_repeated_runs."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = line_runs.without_repeated_runs(docs)
+    kept = line_runs.without_repeated_runs(docs, min_words=1)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

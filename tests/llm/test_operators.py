@@ -305,6 +305,15 @@ def test_line_runs_whose_parts_first_stand_elsewhere(spark):
         assert out[3] == "own\nend"
 
 
+def test_line_runs_query_takes_short_lines(spark, tmp_path):
+    from plumbline.llm.queries import op6_line_runs
+
+    made = [(1, "own\nRead more\n\nx"), (2, "Read more\n\nother"), (3, "third\n\n\t\nRead more")]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_removed"] for r in op6_line_runs(spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: 2, 3: 1}
+
+
 def test_line_runs_of_odd_rows(spark, odd, empty):
     out = line_runs.without_repeated_runs(clashing(odd, "gone", "own", "row", "n_lines"), min_words=1).collect()
     assert len(out) == len(ODD) and [r["text"] for r in out if r["doc_id"] == 1] == [None]
