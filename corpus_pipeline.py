@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the gated network scores below 0.3; those without words stay."""
     score = free_name(docs.columns, "score")
     scored = gated.with_toxicity(docs, toxicity_model(spark, sf_dir), out=score)
-    return scored.where((F.col(score) < 0.3) | (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0)).select(*docs.columns)
+    return scored.where((F.col(score) < 0.3) | ~gated.has_words(F.col("text"))).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -198,7 +198,7 @@ class Network:
         return _sigmoid(np.concatenate(parts)).astype(np.float64) if parts else np.zeros(0)
 
     def scores(self, t: Tokens) -> np.ndarray:
-        """The score of each text: that of its highest window; without words, the share of toxic texts in training."""
+        """The score of each text: that of its highest window; without words, the prior."""
         out = np.full(len(t.found), -1.0)
         np.maximum.at(out, t.owner, self.probabilities(t))
         return np.where(t.found > 0, out, self.prior)
@@ -214,15 +214,16 @@ def _rows(t: Tokens, chosen: np.ndarray) -> Tokens:
     return Tokens(t.word[used], t.gram[ragged(starts[used], t.grams[used])], t.grams[used], index, t.owner[chosen])
 
 
-def train(texts: list[str], labels: list[int], shape: Shape | None = None, *, epochs: int = 1, rounds: int = 8, batch: int = 256, rate: float = 0.005, spread: float = 0.05, blind: float = 0.6, least_steps: int = 150) -> Network:
+def train(texts: list[str], labels: list[int], shape: Shape | None = None, *, prior: float | None = None, epochs: int = 1, rounds: int = 8, batch: int = 256, rate: float = 0.005, spread: float = 0.05, blind: float = 0.6, least_steps: int = 150) -> Network:
     """Fits the network to labelled texts: first windows drawn from all texts under their text's label, then rounds
     on the windows that now score highest in each text (those make its score) and as many drawn ones of clean texts.
-    Few texts get more rounds, until there were least_steps steps.
+    Few texts get more rounds, until there were least_steps steps. prior: the score of texts without words, by default the
+    share of toxic ones in labels.
     """
     shape = shape or Shape()
     net, rnd = Network(shape), np.random.default_rng(shape.seed + 1)
     y = np.array(labels, np.float32)
-    net.prior = float(y.mean()) if len(y) else 0.0
+    net.prior = prior if prior is not None else float(y.mean()) if len(y) else 0.0
     t = tokens_of(*byte_view(pa.array(texts, pa.string())), shape)
     if not len(t.windows) or len(set(labels)) < 2:
         return net
@@ -274,12 +275,22 @@ def train(texts: list[str], labels: list[int], shape: Shape | None = None, *, ep
     return net
 
 
+def _usable(labels: DataFrame, key: str, target: str) -> DataFrame:
+    """Labels that aren't held out, and have a key and a class."""
+    return labels.where(F.col(key).isNotNull() & F.col(target).isin(0, 1) & (F.crc32(F.col(key).cast("string").cast("binary")) % 4 != 2))
+
+
+def toxic_share(labels: DataFrame, *, key: str = "doc_id", target: str = "toxic") -> float:
+    """The share of toxic ones among all labels that aren't held out (0 if there are none)."""
+    return _usable(labels, key, target).agg(F.avg(F.col(target).cast("double"))).first()[0] or 0.0
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", target: str = "toxic", each: int = 1000) -> tuple[list[str], list[int]]:
     """At most ``each`` labelled texts of either class, those with the least key hashes, without held-out keys.
 
     A key is held out if the CRC-32 of its decimal text leaves 2 modulo 4. Labels and keys that are null don't count.
     """
-    usable = labels.where(F.col(key).isNotNull() & F.col(target).isin(0, 1) & (F.crc32(F.col(key).cast("string").cast("binary")) % 4 != 2))
+    usable = _usable(labels, key, target)
     wanted = []
     for value in (0, 1):
         found = usable.where(F.col(target) == value).select(key, F.col(target).cast("int").alias("_y"), F.xxhash64(key).alias("_h")).orderBy("_h", key).limit(each)
@@ -292,7 +303,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, *, key: str = "doc_
 def with_toxicity(df: DataFrame, net: Network, *, text: str = "text", out: str = "score") -> DataFrame:
     """Adds a score between 0 and 1: the highest of all overlapping windows of the whole text.
 
-    Null and empty texts and texts without words get the share of toxic texts in training. All rows and columns stay;
+    Null and empty texts and texts without words get the network's prior. All rows and columns stay;
     a column that had the name out is replaced.
     """
     df = df.drop(out)
@@ -308,6 +319,11 @@ def with_toxicity(df: DataFrame, net: Network, *, text: str = "text", out: str =
     return df.mapInArrow(run, schema)
 
 
+def has_words(text: Column) -> Column:
+    """Whether the network finds a word in a text (null: no)."""
+    return F.coalesce(text, F.lit("")).rlike(r"[0-9A-Za-z']|[^\x00-\x7F]")
+
+
 def is_held_out(key: int) -> bool:
     """The rule of labelled_sample for one key."""
     return zlib.crc32(str(key).encode()) % 4 == 2

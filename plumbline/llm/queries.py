@@ -50,9 +50,10 @@ def byte_bpe_path() -> str:
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> gated.Network:
-    """The network, trained on a bounded sample of the labelled documents (gated.labelled_sample)."""
-    texts, labels = gated.labelled_sample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
-    return gated.train(texts, labels)
+    """The network, trained on a bounded sample of the labelled documents (gated.labelled_sample), with the toxic share of all labels."""
+    known = _read(spark, sf_dir, "labels")
+    texts, labels = gated.labelled_sample(_read(spark, sf_dir, "documents"), known)
+    return gated.train(texts, labels, prior=gated.toxic_share(known))
 
 
 def op4_gated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

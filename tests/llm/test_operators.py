@@ -202,6 +202,28 @@ def test_toxicity_learns_and_keeps_rows(spark, odd, empty):
     assert gated.with_toxicity(empty, net).count() == 0
 
 
+def test_texts_without_words_get_the_true_share_and_stay(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from plumbline.llm import queries
+
+    schema = "doc_id long, text string"
+    made = [(k, ("vile rotten words" if k % 4 == 0 else "quite clean words") + f" of text {k}") for k in range(40)]
+    spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k, int(k % 4 == 0)) for k in range(40)] + [(k, int(k % 50 == 0)) for k in range(100, 900)] + [(None, 1), (7000, None)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    fit = [y for k, y in labels if k is not None and y is not None and not gated.is_held_out(k)]
+    net = queries.toxicity_model(spark, str(tmp_path))
+    assert abs(net.prior - sum(fit) / len(fit)) < 1e-9
+    net.prior = 0.5
+    monkeypatch.setattr(corpus_pipeline, "toxicity_model", lambda *_: net)
+    texts = [None, "", " ", "\n\n", "\t\r\n", "--- !?", "\x00"]
+    bare = spark.createDataFrame(list(enumerate(texts)), schema)
+    assert corpus_pipeline.toxicity(spark, bare, "").count() == len(texts)
+    words = ["a", "'", "7", "é", "\u00a0", " x "]
+    assert spark.createDataFrame(list(enumerate(words)), schema).where(gated.has_words(F.col("text"))).count() == len(words)
+    assert (gated.tokens_of(*byte_view(pa.array(words)), gated.Shape()).found > 0).all() and not gated.tokens_of(*byte_view(pa.array(texts, pa.string())), gated.Shape()).found.any()
+
+
 def test_network_gradients():
     shape = gated.Shape(window=5, stride=3, word_rows=16, gram_rows=32, width=3, hidden=2)
     net = gated.Network(shape)
