@@ -45,8 +45,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without strings of 256 bytes (some 50 words) that repeat; documents that lose all go."""
-    kept = prefix_free.without_repeats(docs, length=256, out="text", whole_characters=True).withColumn("text", F.col("text").cast("string"))
+    """Documents without strings of 200 bytes (under 50 words) that repeat; documents that lose all go."""
+    kept = prefix_free.without_repeats(docs, length=200, out="text", whole_characters=True).withColumn("text", F.col("text").cast("string"))
     return _as_documents(kept.where((F.col("n_removed") == 0) | (F.trim("text") != "")), docs)
 
 

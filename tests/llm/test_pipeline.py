@@ -74,3 +74,14 @@ def test_stages_take_odd_rows(spark, sf_dir):
             assert (out.count() > 0) == (df is not None and not df.isEmpty())
             if name != "pack":
                 assert out.columns == df.columns
+
+
+def test_passages_of_short_words_go(spark):
+    import corpus_pipeline
+
+    own = [" ".join(f"{a}{k}word{i}" for i in range(60)) for k, a in enumerate("abc")]
+    passage = " ".join(f"{i:x}s" if i % 2 else f"p{i:04d}" for i in range(51))
+    assert 200 <= len(passage.encode()) < 256
+    rows = [(k, f"{x}\n{passage}\n{x[::-1]}" if k < 2 else x, "en", "a", 0) for k, x in enumerate(own)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeat_dedup(spark, spark.createDataFrame(rows, force.DOC), "").collect()}
+    assert len(got) == 3 and got[2] == own[2] and not any(passage in got[k] for k in (0, 1))
