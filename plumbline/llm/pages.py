@@ -34,6 +34,8 @@ _DROP_NAMES = frozenset(
 )
 _MAIN_NAMES = frozenset("content main post entry article story body-text article-body post-content entry-content".split())
 _CONTAINERS = frozenset("div section nav aside header footer ul ol dl table form menu details fieldset center search dialog".split())
+#: Inside an article: blocks too, but not its lines (paragraphs, headings, items, rows).
+_COUNTED = _CONTAINERS | frozenset("address article blockquote figcaption figure hr legend pre summary".split())
 _PART = re.compile(r"[A-Za-z]+")
 
 
@@ -192,20 +194,24 @@ def subtree_hash(node: Node) -> int:
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
-def template_parts(top: Node, root: Node) -> list[Node]:
-    """Elements that may be of a site's template: containers beside the article's ancestors, and dropped ones as a whole."""
+def template_parts(top: Node, root: Node) -> list[tuple[Node, bool]]:
+    """Elements that may be of a site's template, and whether they are inside the article: containers beside the article's
+    ancestors, blocks of the article that hold less than half of it (any, if all of the page is its article), and dropped
+    elements as a whole."""
     above, x = set(), root
     while x is not None:
         above.add(id(x))
         x = x.parent
+    half = _size(root) / 2
     out, stack = [], [(top, False)]
     while stack:
         node, inside = stack.pop()
         inside = inside or node is root
         if id(node) not in above and node.tag not in ("head", "script", "style"):
             whole = _dropped(node, inside)
-            if whole or node.tag in _CONTAINERS:
-                out.append(node)
+            counted = node.tag in _COUNTED and (root.parent is None or _size(node) < half) if inside else node.tag in _CONTAINERS
+            if whole or counted:
+                out.append((node, inside))
             if whole:
                 continue
         stack.extend((c, inside) for c in reversed(node.children) if not isinstance(c, str))
@@ -252,22 +258,22 @@ def host_of(url: Column) -> Column:
     return F.lower(part)
 
 
-def site_templates(parts: DataFrame, min_pages: int, share: float) -> DataFrame:
-    """(host, hash) of subtrees that stand on at least min_pages pages of a host and on that share of its pages.
+def site_templates(parts: DataFrame, min_pages: int) -> DataFrame:
+    """(host, hash) of subtrees that stand in at least min_pages different contents of a host.
 
-    parts has a row (host, page, hash) for each distinct part of a page, with hash null once for each page.
+    parts has a row (host, hash, content) for each distinct part of a page; content is a hash of what copies share.
     """
-    counts = parts.groupBy("host", "hash").agg(F.count("*").alias("n"))
-    pages = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    return counts.where((F.col("n") >= min_pages) & F.col("hash").isNotNull()).join(pages, "host").where(F.col("n") >= F.lit(share) * F.col("pages")).select("host", "hash")
+    seen = parts.select("host", "hash", "content").distinct()
+    return seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "hash")
 
 
-def main_text(df: DataFrame, *, url: str = "url", source: str = "html", out: str = "text", min_pages: int = 5, share: float = 0.2) -> DataFrame:
+def main_text(df: DataFrame, *, url: str = "url", source: str = "html", out: str = "text", min_pages: int = 5) -> DataFrame:
     """Replaces the source of pages by their main text (empty if there is none).
 
     First each page's containers outside its article's own ancestors are hashed as subtrees and counted by host;
-    subtrees on many pages of the host (site_templates) go. Paragraphs and headings of an article are never taken for
-    templates. Then menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go,
+    subtrees in min_pages different pages of the host (site_templates) go. Copies of a page count once, and for blocks
+    inside an article pages with the same article do. Paragraphs, headings, items and rows of an article are never taken
+    for templates, nor are blocks with half of its text. Then menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go,
     by element, role, class or id. Null sources count as empty; null URLs share an empty host. Repeated rows and rows
     with equal keys are kept. Other columns stay; one that had the name out is replaced.
     """
@@ -282,12 +288,16 @@ def main_text(df: DataFrame, *, url: str = "url", source: str = "html", out: str
                 rows: list[tuple] = []
                 for host, key, own in zip(part.column("host").to_pylist(), part.column("page").to_pylist(), part.column("_source").to_pylist(), strict=True):
                     top = parse(own)
-                    found = {subtree_hash(x) for x in template_parts(top, article_of(top))}
-                    rows += [(host, key, None), *((host, key, h) for h in found)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["host", "page", "hash"])
-
-    parts = materialise(wide.mapInArrow(hashes, "host string, page long, hash long"), "page-parts")
-    templates = site_templates(parts, min_pages, share)
+                    root = article_of(top)
+                    whole = xxhash.xxh64_intdigest(own.encode("utf-8", "surrogatepass")) >> 1
+                    article = subtree_hash(root)
+                    found = {(subtree_hash(x), article if inside else whole) for x, inside in template_parts(top, root)}
+                    rows += [(host, key, h, c) for h, c in found]
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["host", "page", "hash", "content"])
+
+    parts = materialise(wide.mapInArrow(hashes, "host string, page long, hash long, content long"), "page-parts")
+    templates = site_templates(parts, min_pages)
     gone = parts.join(templates, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("gone"))
     own, body, spot = (free_name(others, n) for n in ("page", "source", "gone"))
     gone = gone.select(F.col("page").alias(own), F.col("gone").alias(spot))
@@ -302,7 +312,7 @@ def main_text(df: DataFrame, *, url: str = "url", source: str = "html", out: str
                     top = parse(text)
                     root = article_of(top)
                     known = set(drop or ())
-                    away = {id(x) for x in template_parts(top, root) if subtree_hash(x) in known} if known else set()
+                    away = {id(x) for x, _ in template_parts(top, root) if subtree_hash(x) in known} if known else set()
                     texts.append(text_of(root, away))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in others] + [pa.array(texts, pa.string())], [*others, out])
 

@@ -368,6 +368,19 @@ def test_site_templates_go_and_article_lines_stay(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+def test_rare_templates_go_and_copies_of_an_article_stay(spark):
+    story = lambda i: " ".join(f"own{i}x{j}" for j in range(40))
+    make = lambda i, more="": f"<body><article><h1>T{i}</h1><p>{story(i)}</p>{more}</article></body>"
+    note = "<div>call us now</div><figure>our shop</figure>"
+    rows = [(i, f"http://a.example/{i}", make(i, note if i < 6 else "")) for i in range(60)]
+    copy = "<body><article><div><p>first half of it all</p></div><section><p>second half</p></section></article></body>"
+    rows += [(100 + i, f"http://b.example/{i}", copy) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.main_text(df).collect()}
+    assert all(got[i] == f"T{i}\n{story(i)}" for i in range(60))
+    assert all(got[100 + i] == "first half of it all\nsecond half" for i in range(8))
+
+
 # 8
 
 
