@@ -62,12 +62,13 @@ def token_windows(df: DataFrame, key: str, tokens: Column, size: int, overlap: i
 
 
 def stitch(chunks: DataFrame, key: str, *, most: int = 300) -> DataFrame:
-    """Joins consecutive chunks of tokens without their exact overlap: the longest suffix of one that begins the next."""
+    """Joins consecutive chunks of tokens without their overlap: known from start where chunks have it, else the longest suffix of one that begins the next."""
     w = Window.partitionBy(key).orderBy("chunk_index")
     pairs = chunks.withColumn("_before", F.lag("tokens").over(w))
     sizes = F.sequence(F.least(F.size("_before"), F.size("tokens"), F.lit(most)), F.lit(0), F.lit(-1))
     shared = F.filter(sizes, lambda n: F.slice("_before", F.size("_before") - n + 1, n) == F.slice("tokens", F.lit(1), n))
-    cut = pairs.withColumn("overlap", F.when(F.col("_before").isNull(), 0).otherwise(F.element_at(shared, 1)))
+    known = F.greatest(F.lag("start").over(w) + F.size("_before") - F.col("start"), F.lit(0)) if "start" in chunks.columns else F.element_at(shared, 1)
+    cut = pairs.withColumn("overlap", F.when(F.col("_before").isNull(), 0).otherwise(known))
     part = F.struct("chunk_index", F.slice("tokens", F.col("overlap") + 1, F.size("tokens")).alias("t"))
     joined = cut.groupBy(key).agg(F.sort_array(F.collect_list(part)).alias("p"), F.count_if(F.col("overlap") > 0).alias("n_overlaps"), F.count("*").alias("n_chunks"))
     return joined.select(key, F.flatten(F.transform("p", lambda x: x["t"])).alias("tokens"), "n_overlaps", "n_chunks")

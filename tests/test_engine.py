@@ -39,6 +39,13 @@ def test_windows_and_stitching_give_the_tokens_back(spark):
     assert {r["k"]: r["tokens"] for r in C.stitch(w, "k").collect()} == {1: [str(i) for i in range(1711)], 2: ["a"]}
 
 
+def test_stitching_keeps_repetitive_texts_whole(spark):
+    made = {1: ["x"] * 1500, 2: ["a", "b", "c"] * 700}
+    df = spark.createDataFrame(list(made.items()), "k int, t array<string>")
+    w = C.token_windows(df, "k", F.col("t"), 600, 100)
+    assert {r["k"]: r["tokens"] for r in C.stitch(w, "k").collect()} == made
+
+
 def test_clean_query_falls_back(spark):
     df = spark.createDataFrame([("What is the?",), ("What about 421.03",)], "t string")
     assert [r[0] for r in df.select(X.clean_query(F.col("t"))).collect()] == ["What is the?", "about 421 03"]
