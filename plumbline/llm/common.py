@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +18,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is set in its place.
+    Only where that is unset and the session runs on one machine a temporary folder is set in its place.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -43,20 +48,42 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
         return
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+_OPEN = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialise() writes inside go when the block ends, save those written with outlives."""
+    stack = _OPEN.__dict__.setdefault("stack", [])
+    held: set[str] = set()
+    stack.append(held)
+    try:
+        yield
+    finally:
+        stack.remove(held)
+        for path in held:
+            drop_table(spark, path)
+
+
+def materialise(df: DataFrame, label: str, *, outlives: bool = False) -> DataFrame:
     """Writes the frame as Parquet into the shared folder and reads it back.
 
     This cuts lineage in a way that survives lost executors, and fixes row numbers and partition ids.
+    The table lasts as long as the innermost scratch() block, the one around it with outlives, or the program.
     """
-    return materialise_at(df, label)[0]
+    return materialise_at(df, label, outlives=outlives)[0]
 
 
-def materialise_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """As materialise, also returning the path so that the caller can drop_table() it."""
+def materialise_at(df: DataFrame, label: str, *, outlives: bool = False) -> tuple[DataFrame, str]:
+    """As materialise, also returning the path so that the caller can drop_table() it sooner."""
     spark = df.sparkSession
     path = table_path(spark, label)
     df.write.parquet(path)
-    atexit.register(_drop_at_exit, spark, path)
+    blocks_ = getattr(_OPEN, "stack", [])[: -1 if outlives else None]
+    if blocks_:
+        blocks_[-1].add(path)
+    else:
+        atexit.register(_drop_at_exit, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

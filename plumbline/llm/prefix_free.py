@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, byte_view, drop_table, free_name, materialise, materialise_at, mix64, partitions, with_keys, without_keys
+from .common import blocks, byte_view, drop_table, free_name, materialise, materialise_at, mix64, partitions, scratch, with_keys, without_keys
 from .shingles import _powers
 
 _BLOCK = 2 << 20
@@ -32,6 +32,8 @@ _BYTE = np.random.default_rng(977).integers(0, 2**64, 256, np.uint64)
 _FOUND = "core long, wide long, key long, place long"
 _NAMES = ["core", "wide", "key", "place"]
 _STEP = 8
+#: Starts within a text have 28 bits.
+_LONGEST = (1 << 28) - 1
 #: Kinds of rows: a covered interval of a text, a class (or string) to be sorted, one that is known to be repeated.
 COVER, ROW, KNOWN = 0, 1, 2
 
@@ -159,6 +161,8 @@ def _first_pass(texts: DataFrame, length: int, k: int, v: int) -> DataFrame:
         for batch in batches:
             for part in blocks(batch, "text", _BLOCK):
                 raw, offsets = byte_view(part.column("text"))
+                if len(offsets) > 1 and int(np.diff(offsets).max()) > _LONGEST:
+                    raise ValueError(f"a text has more than {_LONGEST} bytes")
                 c = classes(raw, offsets, length, k, v)
                 if len(c["text"]):
                     yield from _local(c, part.column("key").to_numpy(), length)
@@ -247,6 +251,11 @@ def repeated_spans(df: DataFrame, *, text: str = "text", length: int = 400, k: i
     """
     if k + v > length:
         raise ValueError("a string must hold a trigger: k + v may not exceed length")
+    with scratch(df.sparkSession):
+        return _spans(df, text, length, k, v)
+
+
+def _spans(df: DataFrame, text: str, length: int, k: int, v: int) -> DataFrame:
     spark = df.sparkSession
     texts = df.where(F.octet_length(text) >= length).select(F.xxhash64(F.col(text)).alias("key"), F.col(text).cast("binary").alias("text"))
     found, path = materialise_at(_first_pass(texts, length, k, v), "phrases")
@@ -261,7 +270,7 @@ def repeated_spans(df: DataFrame, *, text: str = "text", length: int = 400, k: i
             open_ = settled.where(_kind() == ROW).select("key", "place").distinct()
             found, path = materialise_at(_string_pass(texts, open_, length, step), f"strings-{step}")
         drop_table(spark, sorted_path)
-    return materialise(reduce(DataFrame.unionAll, covers).distinct().groupBy("key").agg(F.collect_list("place").alias("places")), "spans")
+    return materialise(reduce(DataFrame.unionAll, covers).distinct().groupBy("key").agg(F.collect_list("place").alias("places")), "spans", outlives=True)
 
 
 def _to_characters(raw: bytes, low: int, high: int) -> tuple[int, int]:

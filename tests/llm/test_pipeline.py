@@ -52,7 +52,7 @@ def test_stages(spark, sf_dir):
 
     before, after = out["repeat_dedup"]
     rows = [(r["doc_id"], r["text"].encode()) for r in before.collect()]
-    kept = {k: x[3] for (k, _), x in zip(rows, force.repeats_by_force([t for _, t in rows], 256), strict=True)}
+    kept = {k: x[3] for (k, _), x in zip(rows, force.repeats_by_force([t for _, t in rows], 200), strict=True)}
     got = {r["doc_id"]: r["text"] for r in after.collect()}
     assert all(got[k] == kept[k].decode("utf-8", "ignore") or len(got[k].encode()) - len(kept[k]) <= 6 for k in got)
     assert {k for k, t in kept.items() if t.decode("utf-8", "ignore").strip()} <= set(got)
