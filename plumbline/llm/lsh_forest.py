@@ -11,24 +11,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import blocks, byte_view, materialise, partitions
+from .common import blocks, byte_view, materialise, partitions, scratch
 from .components import components
 from .shingles import set_ids, shingle_sets, signatures
 
 _BLOCK = 2 << 20
+_TURNS = 6
+#: Sketches have a bit for each of 384 labels, of which the first 128 give the orders.
+_BITS = 384
+_SKETCH = [f"s{i}" for i in range(1, _BITS // 64 + 1)]
 
 
 def with_signatures(df: DataFrame, text: str, trees: int, depth: int, width: int) -> DataFrame:
     """Replaces a text column by n_shingles, node (a hash of the shingle set; null if empty), two longs of signature
-    order for each tree (hi, lo) and a sketch of two longs (one bit for each label).
+    order for each tree (hi, lo) and a sketch of six longs (one bit for each of 384 labels).
     """
     if depth != 8 or trees * depth != 128:
         raise ValueError("signatures have 128 labels, 8 for each of 16 trees")
     others = [f.name for f in df.schema if f.name != text]
     longs = T.ArrayType(T.LongType(), False)
-    more = [("n_shingles", T.LongType()), ("node", T.LongType()), ("hi", longs), ("lo", longs), ("s1", T.LongType()), ("s2", T.LongType())]
+    more = [("n_shingles", T.LongType()), ("node", T.LongType()), ("hi", longs), ("lo", longs), *((c, T.LongType()) for c in _SKETCH)]
     schema = T.StructType([df.schema[c] for c in others] + [T.StructField(n, t) for n, t in more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,17 +39,17 @@ def with_signatures(df: DataFrame, text: str, trees: int, depth: int, width: int
             for part in blocks(batch, text, _BLOCK):
                 sets, at = shingle_sets(*byte_view(part.column(text)), width)
                 sizes = np.diff(at)
-                labels = signatures(sets, at, trees * depth)
+                labels = signatures(sets, at, _BITS)
                 # Big-endian halves, moved so that signed order is the order of the labels.
-                order = labels.astype(">u2").view(">u8").reshape(-1, trees, 2).astype(np.uint64) ^ np.uint64(1 << 63)
+                order = np.ascontiguousarray(labels[:, : trees * depth]).astype(">u2").view(">u8").reshape(-1, trees, 2).astype(np.uint64) ^ np.uint64(1 << 63)
                 order = order.view(np.int64)
-                bits = np.packbits((labels & 1).astype(np.uint8), axis=1).view(np.int64).reshape(-1, 2)
+                bits = np.packbits((labels & 1).astype(np.uint8), axis=1).view(np.int64).reshape(-1, len(_SKETCH))
                 steps = pa.array(np.arange(len(sizes) + 1) * trees, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in others]
                     + [pa.array(sizes, pa.int64()), pa.array(set_ids(sets, at), pa.int64(), mask=sizes == 0)]
                     + [pa.ListArray.from_arrays(steps, pa.array(np.ascontiguousarray(order[:, :, k]).ravel(), pa.int64())) for k in (0, 1)]
-                    + [pa.array(np.ascontiguousarray(bits[:, k]), pa.int64()) for k in (0, 1)],
+                    + [pa.array(np.ascontiguousarray(bits[:, k]), pa.int64()) for k in range(len(_SKETCH))],
                     [*others, *(n for n, _ in more)],
                 )
 
@@ -67,7 +70,7 @@ def _near(rows: dict[str, np.ndarray], window: int, least: int, most_bits: int,
         j = i + w
         x, y = rows["n"][i], rows["n"][j]
         # Of unsigned numbers: of negative ones, bitwise_count takes the absolute value.
-        bits = sum(np.bitwise_count((rows[s][i] ^ rows[s][j]).view(np.uint64)).astype(np.int64) for s in ("s1", "s2"))
+        bits = sum(np.bitwise_count((rows[s][i] ^ rows[s][j]).view(np.uint64)).astype(np.int64) for s in _SKETCH)
         keep = (bits <= most_bits) & (np.minimum(x, y) >= share * np.maximum(x, y)) & (rows["node"][i] != rows["node"][j])
         i, j, bits = i[keep], j[keep], bits[keep]
         p, q = rows["node"][i], rows["node"][j]
@@ -85,11 +88,11 @@ def candidates(nodes: DataFrame, *, window: int, least: int, most_bits: int, sha
     spark = nodes.sparkSession
     turned = [F.concat(F.slice(c, 2, F.size(c)), F.slice(c, 1, 1)).alias(f"next_{c}") for c in ("hi", "lo")]
     orders = F.arrays_zip("hi", "lo", *turned)
-    rows = nodes.select("node", F.col("n_shingles").alias("n"), "s1", "s2", F.posexplode(orders).alias("tree", "o"))
-    rows = rows.select("tree", *[F.col(f"o.{c}").alias(c) for c in ("hi", "lo", "next_hi", "next_lo")], "node", "n", "s1", "s2")
+    rows = nodes.select("node", F.col("n_shingles").alias("n"), *_SKETCH, F.posexplode(orders).alias("tree", "o"))
+    rows = rows.select("tree", *[F.col(f"o.{c}").alias(c) for c in ("hi", "lo", "next_hi", "next_lo")], "node", "n", *_SKETCH)
     keys = ["tree", "hi", "lo", "next_hi", "next_lo", "node"]
     placed = rows.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
-    names = [*keys, "n", "s1", "s2"]
+    names = [*keys, "n", *_SKETCH]
     schema = "a long, b long, bits long, part int, at long, " + ", ".join(f"{c} {'int' if c == 'tree' else 'long'}" for c in names)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,7 +167,7 @@ def near_duplicates(
     """Components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
     Documents with equal sets count as one node before any pair is made. Candidates come from the forest; those that
-    differ in more sketch bits than a linked pair does (by over four standard deviations) are left out, the others are
+    differ in more of 384 sketch bits than a linked pair does (by over four standard deviations) are left out, the others are
     confirmed on their full sets: first the likeliest partner of each node, then every candidate whose ends are still
     in different components. In a group of many variants, most are linked to few texts only, such as the common
     original. So a node that still has candidates in another component meets that component's hubs, its best linked
@@ -175,14 +178,49 @@ def near_duplicates(
     its component_id is the component's smallest key, null if there is none, and kept is false. Repeated rows are kept
     and share their component. An empty table gives no rows. Other columns of df are not read.
     """
+    with scratch(df.sparkSession):
+        return _grouped(df, text, key, width, percent, trees, depth, least, window, hubs)
+
+
+def _hub_pairs(pairs: DataFrame, links: DataFrame, roots: DataFrame, hubs: int) -> DataFrame:
+    """(a, b): each node that has candidates in other components, with their best linked nodes; of a single hub, only
+    with the best one of all these components.
+
+    Hubs are the nodes with most links among those of equal hash, so that a maximum by (root, hash) finds them before any shuffle.
+    """
+    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+    slot = F.pmod(F.xxhash64("node"), F.lit(hubs))
+    hub = ends.join(roots, "node").groupBy("root", slot).agg(F.max(F.struct("degree", "node")).alias("hub"))
+    placed = _with_roots(pairs, roots)
+    sides = [placed.select(F.col(x).alias("node"), F.col(f"r{x}").alias("own"), F.col(f"r{y}").alias("root")) for x, y in ("ab", "ba")]
+    asked = sides[0].unionAll(sides[1]).where(F.col("root").isNotNull() & ~F.col("own").eqNullSafe(F.col("root"))).select("node", "root").distinct()
+    meets = asked.join(hub, "root")
+    if hubs == 1:
+        meets = meets.groupBy("node").agg(F.max("hub").alias("hub"))
+    meets = meets.select("node", F.col("hub.node").alias("hub"))
+    return meets.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs with ra and rb, the roots of their ends (null: not linked)."""
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+    return pairs
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    return _with_roots(pairs, roots).where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
+
+
+def _grouped(df: DataFrame, text: str, key: str, width: int, percent: int, trees: int, depth: int, least: int, window: int, hubs: int) -> DataFrame:
     base = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tkey"))
     signed = materialise(with_signatures(base, "text", trees, depth, width), "signatures")
     first = F.min(F.struct(F.coalesce("key", F.lit((1 << 63) - 1)).alias("k"), "tkey"))
     nodes = signed.where("node is not null").groupBy("node").agg(
-        F.min("key").alias("least_key"), first.alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.first("s1").alias("s1"), F.first("s2").alias("s2")
+        F.min("key").alias("least_key"), first.alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("hi").alias("hi"), F.first("lo").alias("lo"), *[F.first(c).alias(c) for c in _SKETCH]
     )
     nodes = materialise(nodes, "nodes")
-    bits, agree = trees * depth, 0.5 + percent / 200
+    bits, agree = _BITS, 0.5 + percent / 200
     most = int(np.ceil(bits * (1 - agree) + 4.2 * np.sqrt(bits * agree * (1 - agree))))
     pairs = materialise(candidates(nodes, window=window, least=least, most_bits=most, share=percent / 100), "candidates")
     sides = [pairs.select(F.col(x).alias("node"), F.col(y).alias("other"), "bits") for x, y in ("ab", "ba")]
@@ -193,28 +231,37 @@ def near_duplicates(
     texts = materialise(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     best = both.groupBy("node").agg(F.min(F.struct("bits", "other")).alias("m"))
-    best = best.select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b")).distinct()
+    best = materialise(best.select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b")).distinct(), "asked")
     links = materialise(confirmed(best, texts, width, percent), "links")
     roots = materialise(components(links), "roots")
-    placed = pairs
-    for c in ("a", "b"):
-        placed = placed.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
-    apart = placed.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    links = links.unionAll(materialise(confirmed(apart, texts, width, percent), "links"))
-    roots = materialise(components(links), "roots")
+    tested = best
 
-    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-    by_degree = Window.partitionBy("root").orderBy(F.desc("degree"), "node")
-    hub = ends.join(roots, "node").withColumn("i", F.row_number().over(by_degree)).where(F.col("i") <= hubs).select("root", F.col("node").alias("hub"))
-    both = both.join(roots.select("node", "root"), "node", "left").join(roots.select(F.col("node").alias("other"), F.col("root").alias("near")), "other")
-    meets = both.where(~F.col("root").eqNullSafe(F.col("near"))).select("node", F.col("near").alias("root")).distinct().join(hub, "root")
-    meets = meets.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    more = confirmed(meets, texts, width, percent)
-    roots = materialise(components(links.unionAll(more)), "roots")
+    def look(asked: DataFrame) -> tuple[int, int]:
+        """Confirms pairs that weren't looked at before: how many these were, and how many are links."""
+        nonlocal links, roots, tested
+        asked = materialise(asked.join(tested, ["a", "b"], "left_anti"), "asked")
+        new = materialise(confirmed(asked, texts, width, percent), "links")
+        found = new.count()
+        if found:
+            links = links.unionAll(new)
+            roots = materialise(components(links), "roots")
+        tested = tested.unionAll(asked)
+        return asked.count(), found
+
+    # Each node with the best linked node of all components that it has candidates in, while that leads on: a large group
+    # is then one component before its other pairs are looked at one by one. Then every pair that still lies between two
+    # components, and the hubs of what these have joined.
+    for _ in range(_TURNS):
+        n, found = look(_hub_pairs(pairs, links, roots, 1))
+        if found * 4 < n or not n:
+            break
+    look(_apart(pairs.select("a", "b"), roots))
+    look(_hub_pairs(pairs, links, roots, hubs))
 
     own = nodes.select("node", "least_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_of = own.groupBy("root").agg(F.min("least_key").alias("component_id"))
     label = own.join(least_of, "root").select("node", "component_id")
     out = signed.select("key", "n_shingles", "node").join(label, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
+    out = out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
+    return materialise(out, "groups", outlives=True)
