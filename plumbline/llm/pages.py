@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,12 +40,18 @@ _COUNTED = _CONTAINERS | frozenset("address article blockquote figcaption figure
 _PART = re.compile(r"[A-Za-z]+")
 
 
+#: Of names made of several words, these at either end say enough by themselves inside an article.
+_SURE_NAMES = frozenset("advert adverts advertisement advertising sponsored cookie cookies gdpr newsletter disqus breadcrumb breadcrumbs comments ads".split())
+
+
 class Node:
-    __slots__ = ("attributes", "children", "parent", "tag")
+    __slots__ = ("attributes", "children", "hash", "parent", "size", "tag")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Node | str] = []
+        #: Characters of text outside dropped elements, and the subtree's hash: see measured().
+        self.size, self.hash = 0, 0
 
     def get(self, name: str) -> str | None:
         """An attribute's value; empty if it has none; None if it is not there."""
@@ -71,6 +78,17 @@ def parse(source: str) -> Node:
     """The element tree of a page. Open paragraphs, list items and cells end where HTML says; strange end tags are ignored."""
     top = Node("#page", "", None)
     node, at, lower = top, 0, None
+    opened: Counter[str] = Counter()
+
+    def leave(last: Node) -> Node:
+        """Closes the open elements up to and with last."""
+        x = node
+        while x is not last:
+            opened[x.tag] -= 1
+            x = x.parent
+        opened[last.tag] -= 1
+        return last.parent
+
     while True:
         m = _TAG.search(source, at)
         if m is None:
@@ -83,19 +101,19 @@ def parse(source: str) -> Node:
             continue
         name = name.lower()
         if m[1]:
-            found = node
-            while found is not top and found.tag != name:
-                found = found.parent
-            if found is not top:
-                node = found.parent
+            if opened[name]:
+                found = node
+                while found.tag != name:
+                    found = found.parent
+                node = leave(found)
             continue
-        if name in _BLOCK:
+        if name in _BLOCK and opened["p"]:
             found = node
             while found is not top and found.tag not in ("p", "table", "button", "td", "th", "li", "div", "article", "section", "body"):
                 found = found.parent
             if found.tag == "p":
-                node = found.parent
-        if name in _CLOSES:
+                node = leave(found)
+        if name in _CLOSES and any(opened[x] for x in _CLOSES[name][0]):
             ends, limit = _CLOSES[name]
             found, last = node, None
             while found is not top and found.tag not in limit:
@@ -103,7 +121,7 @@ def parse(source: str) -> Node:
                     last = found
                 found = found.parent
             if last is not None:
-                node = last.parent
+                node = leave(last)
         child = Node(name, m[3], node)
         node.children.append(child)
         if name in _VOID or m[3].endswith("/") and name not in _BLOCK and name not in _RAW:
@@ -119,10 +137,50 @@ def parse(source: str) -> Node:
             at = len(source) if after < 0 else after + 1
             continue
         node = child
+        opened[name] += 1
     node.children.append(source[at:])
+    return measured(top)
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def measured(top: Node) -> Node:
+    """Sets sizes and hashes of all elements, children first.
+
+    A hash is signed, of 64 bits, and made of tag, class and id, texts with single spaces, and the children's hashes in order.
+    """
+    for node in reversed(list(top.elements())):
+        h = xxhash.xxh64(f"{node.tag}\x04{' '.join(node.names())}\x04".encode("utf-8", "surrogatepass"))
+        for c in node.children:
+            if isinstance(c, str):
+                node.size += len(c.strip())
+                h.update(" ".join(c.split()).encode("utf-8", "surrogatepass") + b"\x03")
+            else:
+                node.size += 0 if c.tag in _DROP_TAGS else c.size
+                h.update(b"\x01" + c.hash.to_bytes(8, "little", signed=True))
+        node.hash = _signed(h.intdigest())
     return top
 
 
+def signature(node: Node) -> int:
+    """A hash of an element's tag, class and id alone: the slot that it fills on its site's pages."""
+    return _signed(xxhash.xxh64_intdigest(f"slot\x04{node.tag}\x04{' '.join(node.names())}".encode("utf-8", "surrogatepass")))
+
+
+def _suspect(node: Node) -> bool:
+    """Whether a name of several words begins or ends like that of a boilerplate element: inside an article, that
+    alone (as of related-work or search-results) doesn't tell, so the slot must recur on the host's pages."""
+    if node.tag in ("html", "body", "main"):
+        return False
+    for name in node.names():
+        parts = _PART.findall(name)
+        if len(parts) > 1 and (parts[0] in _DROP_NAMES or parts[-1] in _DROP_NAMES) and parts[-1] != "header":
+            return True
+    return False
+
+
 def _dropped(node: Node, inside: bool) -> bool:
     """Whether an element is no part of an article by its name, role, class or id; inside: it stands in the article."""
     tag = node.tag
@@ -137,13 +195,16 @@ def _dropped(node: Node, inside: bool) -> bool:
         return not (inside and role == "banner")
     for name in node.names():
         parts = _PART.findall(name)
-        if parts and (parts[0] in _DROP_NAMES or parts[-1] in _DROP_NAMES) and not (inside and parts[-1] == "header"):
+        if not parts or (inside and parts[-1] == "header"):
+            continue
+        ends = {parts[0], parts[-1]}
+        if ends <= _DROP_NAMES or ends & (_SURE_NAMES if inside else _DROP_NAMES):
             return True
     return False
 
 
 def _size(node: Node) -> int:
-    return sum(len(c.strip()) if isinstance(c, str) else 0 if c.tag in _DROP_TAGS else _size(c) for c in node.children)
+    return node.size
 
 
 def _kept(node: Node, wanted) -> list[Node]:
@@ -176,24 +237,6 @@ def article_of(top: Node) -> Node:
     return found if found is not None and 3 * _size(found) >= _size(top) else top
 
 
-def subtree_hash(node: Node) -> int:
-    """A signed 64-bit hash of an element: tag, class and id, texts with single spaces, and children in order."""
-    h = xxhash.xxh64()
-    stack: list[Node | str | None] = [node]
-    while stack:
-        x = stack.pop()
-        if x is None:
-            h.update(b"\x02")
-        elif isinstance(x, str):
-            h.update(" ".join(x.split()).encode("utf-8", "surrogatepass") + b"\x03")
-        else:
-            h.update(f"\x01{x.tag}\x04{' '.join(x.names())}\x04".encode("utf-8", "surrogatepass"))
-            stack.append(None)
-            stack.extend(reversed(x.children))
-    n = h.intdigest()
-    return n - (1 << 64) if n >= 1 << 63 else n
-
-
 def template_parts(top: Node, root: Node) -> list[tuple[Node, bool]]:
     """Elements that may be of a site's template, and whether they are inside the article: containers beside the article's
     ancestors, blocks of the article that hold less than half of it (any, if all of the page is its article), and dropped
@@ -218,6 +261,11 @@ def template_parts(top: Node, root: Node) -> list[tuple[Node, bool]]:
     return out
 
 
+def suspects(root: Node) -> list[Node]:
+    """Elements of an article that only a name of several words speaks against."""
+    return [x for x in root.elements() if x is not root and x.attributes and _suspect(x) and not _dropped(x, True)]
+
+
 def text_of(root: Node, gone: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks of an article, joined by line ends; gone: identities of elements to leave out."""
     out: list[str] = []
@@ -273,7 +321,9 @@ def main_text(df: DataFrame, *, url: str = "url", source: str = "html", out: str
     First each page's containers outside its article's own ancestors are hashed as subtrees and counted by host;
     subtrees in min_pages different pages of the host (site_templates) go. Copies of a page count once, and for blocks
     inside an article pages with the same article do. Paragraphs, headings, items and rows of an article are never taken
-    for templates, nor are blocks with half of its text. Then menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go,
+    for templates, nor are blocks with half of its text. Elements of an article whose class or id of several words only begins
+    or ends like a boilerplate name (related-work, ad-slot) go where their tag, class and id recur in min_pages different
+    articles of the host, and stay elsewhere. Then menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go,
     by element, role, class or id. Null sources count as empty; null URLs share an empty host. Repeated rows and rows
     with equal keys are kept. Other columns stay; one that had the name out is replaced.
     """
@@ -290,8 +340,8 @@ def main_text(df: DataFrame, *, url: str = "url", source: str = "html", out: str
                     top = parse(own)
                     root = article_of(top)
                     whole = xxhash.xxh64_intdigest(own.encode("utf-8", "surrogatepass")) >> 1
-                    article = subtree_hash(root)
-                    found = {(subtree_hash(x), article if inside else whole) for x, inside in template_parts(top, root)}
+                    found = {(x.hash, root.hash if inside else whole) for x, inside in template_parts(top, root)}
+                    found |= {(signature(x), root.hash) for x in suspects(root)}
                     rows += [(host, key, h, c) for h, c in found]
                 columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["host", "page", "hash", "content"])
@@ -312,7 +362,8 @@ def main_text(df: DataFrame, *, url: str = "url", source: str = "html", out: str
                     top = parse(text)
                     root = article_of(top)
                     known = set(drop or ())
-                    away = {id(x) for x, _ in template_parts(top, root) if subtree_hash(x) in known} if known else set()
+                    away = {id(x) for x, _ in template_parts(top, root) if x.hash in known} if known else set()
+                    away |= {id(x) for x in suspects(root) if signature(x) in known} if known else set()
                     texts.append(text_of(root, away))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in others] + [pa.array(texts, pa.string())], [*others, out])
 
