@@ -36,10 +36,14 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that repeat anywhere; see prefix_free.without_repeats."""
+    """Texts without strings of 400 bytes that repeat anywhere; see prefix_free.without_repeats.
+
+    text is what stays, with a replacement character where a run's end cuts one.
+    """
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     kept = prefix_free.without_repeats(docs, length=400)
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))
 
 
 def byte_bpe_path() -> str:
