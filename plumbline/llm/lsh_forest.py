@@ -17,15 +17,14 @@ from .components import components
 from .shingles import set_ids, shingle_sets, signatures
 
 _BLOCK = 2 << 20
-_TURNS = 6
-#: Sketches have a bit for each of 384 labels, of which the first 128 give the orders.
-_BITS = 384
+#: Sketches have a bit for each of 512 labels, of which the first 128 give the orders.
+_BITS = 512
 _SKETCH = [f"s{i}" for i in range(1, _BITS // 64 + 1)]
 
 
 def with_signatures(df: DataFrame, text: str, trees: int, depth: int, width: int) -> DataFrame:
     """Replaces a text column by n_shingles, node (a hash of the shingle set; null if empty), two longs of signature
-    order for each tree (hi, lo) and a sketch of six longs (one bit for each of 384 labels).
+    order for each tree (hi, lo) and a sketch of eight longs (one bit for each of 512 labels).
     """
     if depth != 8 or trees * depth != 128:
         raise ValueError("signatures have 128 labels, 8 for each of 16 trees")
@@ -167,7 +166,7 @@ def near_duplicates(
     """Components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
     Documents with equal sets count as one node before any pair is made. Candidates come from the forest; those that
-    differ in more of 384 sketch bits than a linked pair does (by over four standard deviations) are left out, the others are
+    differ in more of 512 sketch bits than a linked pair does (by over 3.7 standard deviations) are left out, the others are
     confirmed on their full sets: first the likeliest partner of each node, then every candidate whose ends are still
     in different components. In a group of many variants, most are linked to few texts only, such as the common
     original. So a node that still has candidates in another component meets that component's hubs, its best linked
@@ -182,34 +181,25 @@ def near_duplicates(
         return _grouped(df, text, key, width, percent, trees, depth, least, window, hubs)
 
 
-def _hub_pairs(pairs: DataFrame, links: DataFrame, roots: DataFrame, hubs: int) -> DataFrame:
-    """(a, b): each node that has candidates in other components, with their best linked nodes; of a single hub, only
-    with the best one of all these components.
-
-    Hubs are the nodes with most links among those of equal hash, so that a maximum by (root, hash) finds them before any shuffle.
-    """
-    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-    slot = F.pmod(F.xxhash64("node"), F.lit(hubs))
-    hub = ends.join(roots, "node").groupBy("root", slot).agg(F.max(F.struct("degree", "node")).alias("hub"))
-    placed = _with_roots(pairs, roots)
-    sides = [placed.select(F.col(x).alias("node"), F.col(f"r{x}").alias("own"), F.col(f"r{y}").alias("root")) for x, y in ("ab", "ba")]
-    asked = sides[0].unionAll(sides[1]).where(F.col("root").isNotNull() & ~F.col("own").eqNullSafe(F.col("root"))).select("node", "root").distinct()
-    meets = asked.join(hub, "root")
-    if hubs == 1:
-        meets = meets.groupBy("node").agg(F.max("hub").alias("hub"))
-    meets = meets.select("node", F.col("hub.node").alias("hub"))
-    return meets.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
-
-def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs with ra and rb, the roots of their ends (null: not linked)."""
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) between two components, with ra and rb, the roots of their ends (null: not linked)."""
     for c in ("a", "b"):
         pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
-    return pairs
+    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    return _with_roots(pairs, roots).where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
+def _hub_pairs(apart: DataFrame, links: DataFrame, roots: DataFrame, hubs: int) -> DataFrame:
+    """(a, b): each node that has candidates in other components, with up to hubs of these components' best linked nodes.
+
+    Nodes fall into hubs parts by hash; of each part the one with most links counts, of a component and then of all
+    components that the node has candidates in. Both are maxima, so they are found before any shuffle.
+    """
+    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+    part = F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("part")
+    hub = ends.join(roots, "node").groupBy("root", part).agg(F.max(F.struct("degree", "node")).alias("hub"))
+    sides = [apart.select(F.col(x).alias("node"), F.col(f"r{y}").alias("root")) for x, y in ("ab", "ba")]
+    meets = sides[0].unionAll(sides[1]).distinct().join(hub, "root").groupBy("node", "part").agg(F.max("hub").alias("hub"))
+    return meets.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
 def _grouped(df: DataFrame, text: str, key: str, width: int, percent: int, trees: int, depth: int, least: int, window: int, hubs: int) -> DataFrame:
@@ -221,7 +211,7 @@ def _grouped(df: DataFrame, text: str, key: str, width: int, percent: int, trees
     )
     nodes = materialise(nodes, "nodes")
     bits, agree = _BITS, 0.5 + percent / 200
-    most = int(np.ceil(bits * (1 - agree) + 4.2 * np.sqrt(bits * agree * (1 - agree))))
+    most = int(np.ceil(bits * (1 - agree) + 3.7 * np.sqrt(bits * agree * (1 - agree))))
     pairs = materialise(candidates(nodes, window=window, least=least, most_bits=most, share=percent / 100), "candidates")
     sides = [pairs.select(F.col(x).alias("node"), F.col(y).alias("other"), "bits") for x, y in ("ab", "ba")]
     both = sides[0].unionAll(sides[1])
@@ -234,29 +224,11 @@ def _grouped(df: DataFrame, text: str, key: str, width: int, percent: int, trees
     best = materialise(best.select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b")).distinct(), "asked")
     links = materialise(confirmed(best, texts, width, percent), "links")
     roots = materialise(components(links), "roots")
-    tested = best
-
-    def look(asked: DataFrame) -> tuple[int, int]:
-        """Confirms pairs that weren't looked at before: how many these were, and how many are links."""
-        nonlocal links, roots, tested
-        asked = materialise(asked.join(tested, ["a", "b"], "left_anti"), "asked")
-        new = materialise(confirmed(asked, texts, width, percent), "links")
-        found = new.count()
-        if found:
-            links = links.unionAll(new)
-            roots = materialise(components(links), "roots")
-        tested = tested.unionAll(asked)
-        return asked.count(), found
-
-    # Each node with the best linked node of all components that it has candidates in, while that leads on: a large group
-    # is then one component before its other pairs are looked at one by one. Then every pair that still lies between two
-    # components, and the hubs of what these have joined.
-    for _ in range(_TURNS):
-        n, found = look(_hub_pairs(pairs, links, roots, 1))
-        if found * 4 < n or not n:
-            break
-    look(_apart(pairs.select("a", "b"), roots))
-    look(_hub_pairs(pairs, links, roots, hubs))
+    # Pairs that still lie between two components are looked at one by one, and so are their ends with the other component's hubs.
+    apart = materialise(_apart(pairs.select("a", "b"), roots), "apart")
+    asked = apart.select("a", "b").unionAll(_hub_pairs(apart, links, roots, hubs)).distinct().join(best, ["a", "b"], "left_anti")
+    links = links.unionAll(materialise(confirmed(asked, texts, width, percent), "links"))
+    roots = materialise(components(links), "roots")
 
     own = nodes.select("node", "least_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_of = own.groupBy("root").agg(F.min("least_key").alias("component_id"))
