@@ -204,3 +204,15 @@ def text_layer(text: Column) -> Column:
 def conflicting(a: Column, b: Column) -> Column:
     """Whether two sources are both there and differ."""
     return F.coalesce(a.isNotNull() & b.isNotNull() & (a != b), F.lit(False))
+
+
+def json_text(document: Column, *path: str) -> Column:
+    """The value at a path of a JSON text, as text; null where it isn't there."""
+    return F.get_json_object(document, "$" + "".join(f".{p}" for p in path))
+
+
+def lenient_answer(raw: Column) -> Column:
+    """struct(answer, confidence, parsed) of a model's answer: of its JSON, fenced or not, or else the text as the answer."""
+    body = F.from_json(without_fence(raw), "answer string, confidence double")
+    ok = F.coalesce(body["answer"].isNotNull(), F.lit(False))
+    return F.struct(F.when(ok, body["answer"]).otherwise(raw).alias("answer"), F.when(ok, body["confidence"]).alias("confidence"), ok.alias("parsed"))

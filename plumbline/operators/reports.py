@@ -46,3 +46,22 @@ def examples(df: DataFrame, group: str, item: str, k: int) -> DataFrame:
     counts = df.groupBy(group).agg(F.count("*").alias("n"))
     more = F.when(F.col("n") > k, F.concat(F.lit(" and "), (F.col("n") - k).cast("string"), F.lit(" more"))).otherwise("")
     return top.join(counts, group).select(group, F.concat("text", more).alias("text"))
+
+
+def usage_totals(calls: DataFrame, group: str, counts: list[str]) -> DataFrame:
+    """Calls and sums of token counts, for each group and (group null) for all."""
+    total = sum((F.col(c) for c in counts), F.lit(0))
+    return calls.rollup(group).agg(F.count("*").alias("calls"), *[F.sum(c).cast("long").alias(c) for c in counts], F.sum(total).cast("long").alias("total"))
+
+
+def stability(runs: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, stable, ids): the distinct items that repeated runs gave; stable with one at most."""
+    return runs.groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("ids")).select(key, (F.size("ids") <= 1).alias("stable"), "ids")
+
+
+def with_builtins(asked: DataFrame, catalog: DataFrame, k: int = 8) -> DataFrame:
+    """Checks as asked for, with the kind and depth of the catalog where it knows them; a depth that isn't positive becomes k."""
+    known = catalog.select("check_key", F.col("check_type").alias("_type"), F.col("sp_top_k").alias("_k"), F.lit(True).alias("_known"))
+    depth = F.when(F.col("_known"), F.col("_k")).otherwise(F.col("sp_top_k"))
+    out = asked.join(known, "check_key", "left").withColumn("check_type", F.coalesce("_type", "check_type")).withColumn("sp_top_k", F.when(depth > 0, depth).otherwise(k))
+    return out.drop("_type", "_k", "_known")

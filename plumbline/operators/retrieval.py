@@ -135,3 +135,13 @@ def assemble_context(df: DataFrame, *, k: int = 8, order: str = "rank") -> DataF
     line = F.format_string("[%d] %s\n%s", F.col(order), F.coalesce("section", F.lit("")), F.coalesce("text", F.lit("")))
     rows = df.where(F.col(order) <= k).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t")))).alias("a"))
     return rows.select(F.array_join(F.transform("a", lambda x: x["t"]), "\n\n").alias("context"), F.size("a").cast("long").alias("n_chunks"))
+
+
+def as_of(rows: DataFrame, marks: DataFrame, group: str, at: str, value: str, default: str = "") -> DataFrame:
+    """Rows with the value of the last mark of their group at or before them; of marks at one place the greatest counts.
+
+    Rows and marks go through one ordered pass of each group, so no pair of them is ever built.
+    """
+    both = rows.select(group, at, F.lit(None).cast("string").alias("_v"), F.lit(1).alias("_k")).unionAll(marks.select(group, at, F.col(value).alias("_v"), F.lit(0)))
+    carried = F.last("_v", ignorenulls=True).over(Window.partitionBy(group).orderBy(at, "_k", "_v"))
+    return both.withColumn(value, F.coalesce(carried, F.lit(default))).where("_k = 1").select(group, at, value)

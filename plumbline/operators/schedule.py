@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Iterable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .network import critical_path  # noqa: F401  (part of this module's interface)
+
 # Constraint codes that pin an activity.
 MANDATORY = ("CS_MANDSTART", "CS_MSO", "CS_MANDFIN", "CS_MEO")
-EXCLUDED_TYPES = ("TT_LOE", "TT_WBS")
 
 
 def known_links(links: DataFrame, activities: DataFrame) -> DataFrame:
@@ -27,7 +23,7 @@ def open_ends(activities: DataFrame, links: DataFrame, exempt: tuple[str, ...] =
     """(project_id, task_id, open_start, open_finish) of activities without a link in by FS or SS, or out by FS or FF."""
     into = links.where(F.col("rel_type").isin("FS", "SS")).select("project_id", F.col("succ").alias("task_id")).distinct().withColumn("_in", F.lit(True))
     away = links.where(F.col("rel_type").isin("FS", "FF")).select("project_id", F.col("pred").alias("task_id")).distinct().withColumn("_out", F.lit(True))
-    own = activities.where(F.coalesce(F.col("status") != "Completed", F.lit(True)) & ~F.col("task_id").cast("string").isin(*exempt, ""))
+    own = activities.where(F.coalesce(F.col("status") != "Complete", F.lit(True)) & ~F.col("task_id").cast("string").isin(*exempt, ""))
     found = own.join(into, ["project_id", "task_id"], "left").join(away, ["project_id", "task_id"], "left")
     return found.select("project_id", "task_id", F.col("_in").isNull().alias("open_start"), F.col("_out").isNull().alias("open_finish")).where("open_start OR open_finish")
 
@@ -58,171 +54,70 @@ def chained_finishes(activities: DataFrame, links: Column | None = None, *, offs
     return passed.select("project_id", F.explode(F.arrays_zip("a", "f")).alias("z")).select("project_id", F.col("z.a.seq").alias("seq"), F.col("z.f").alias("early_finish"))
 
 
-_FIRST_DAY, _LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2200, 1, 1).toordinal()
+def comparisons(stored: DataFrame, computed: DataFrame, fields: dict[str, str], numbers: dict[str, str] | None = None) -> DataFrame:
+    """(project_id, task_id, field, delta) of all fields that both sides have: days for dates, differences for numbers."""
+    both = stored.join(computed, ["project_id", "task_id"])
+    parts = [F.struct(F.lit(k).alias("field"), F.datediff(F.col(v), F.col(k)).alias("delta")) for k, v in fields.items()]
+    parts += [F.struct(F.lit(k).alias("field"), (F.col(v) - F.col(k)).cast("int").alias("delta")) for k, v in (numbers or {}).items()]
+    return both.select("project_id", "task_id", F.explode(F.array(*parts)).alias("x")).select("project_id", "task_id", "x.*").where("delta IS NOT NULL")
 
 
-class _Calendar:
-    """Work days from 1900 to 2200 by number. A boundary is the morning of the day with its number."""
+def reconcile(stored: DataFrame, computed: DataFrame, fields: dict[str, str], tolerance: int = 1, numbers: dict[str, str] | None = None) -> DataFrame:
+    """The comparisons that differ by more than the tolerance."""
+    return comparisons(stored, computed, fields, numbers).where(F.abs("delta") > tolerance)
 
-    def __init__(self, weekdays: Iterable[int], exceptions: Iterable[dt.date], overrides: Iterable[dt.date]) -> None:
-        days = np.arange(_FIRST_DAY, _LAST_DAY)
-        work = np.isin((days + 6) % 7, list(weekdays))
-        for some, value in ((overrides, True), (exceptions, False)):
-            for d in some:
-                work[d.toordinal() - _FIRST_DAY] = value
-        if not work.any():
-            raise ValueError("a calendar without work days")
-        self.before = np.concatenate([[0], np.cumsum(work)]).tolist()
-        self.days = days[work].tolist()
 
-    def snap(self, d: int, way: int = 1) -> int:
-        """The next boundary before a work day, or the last one after a work day."""
-        k = self.before[d - _FIRST_DAY]
-        return self.days[k] if way > 0 else self.days[k - 1] + 1
+def reconciled(compared: DataFrame, flags: DataFrame, *, tolerance: int = 1, informational: tuple[str, ...] = ("free_float",)) -> DataFrame:
+    """(project_id, task_id, state) of compared activities: mismatch, note, critical_flag or clean.
 
-    def add(self, d: int, n: int) -> int:
-        """The boundary n work days from d."""
-        k = self.before[d - _FIRST_DAY]
-        return d if n == 0 else self.days[k + n - 1] + 1 if n > 0 else self.days[k + n]
+    A difference beyond the tolerance is a mismatch, in an informational field only a note. Where all else is clean, a
+    critical flag that differs (flags: project_id, task_id, stored_critical, is_critical) is reported.
+    """
+    off = F.abs("delta") > tolerance
+    soft = F.col("field").isin(*informational)
+    g = compared.groupBy("project_id", "task_id").agg(F.max(F.when(off & ~soft, 2).when(off, 1).otherwise(0)).alias("_s")).join(flags, ["project_id", "task_id"], "left")
+    differ = ~F.col("stored_critical").eqNullSafe(F.col("is_critical"))
+    return g.select("project_id", "task_id", F.when(F.col("_s") == 2, "mismatch").when(F.col("_s") == 1, "note").when(differ, "critical_flag").otherwise("clean").alias("state"))
 
-    def distance(self, a: int, b: int) -> int:
-        return self.before[b - _FIRST_DAY] - self.before[a - _FIRST_DAY]
 
+def reconciliation_counts(states: DataFrame) -> DataFrame:
+    """(project_id, checked, mismatched, notes, clean)."""
+    count = lambda s: F.count_if(F.col("state") == s)
+    return states.groupBy("project_id").agg(F.count("*").alias("checked"), count("mismatch").alias("mismatched"), count("note").alias("notes"), (F.count("*") - count("mismatch")).alias("clean"))
 
-_CPM = "project_id long, task_id string, early_start date, early_finish date, late_start date, late_finish date, total_float int, free_float int, is_critical boolean, cycle_edges int"
 
+def systematic_offset(compared: DataFrame, *, least: int = 10, share: float = 0.8) -> DataFrame:
+    """(project_id, field, delta, share) where one non-zero delta makes up that share of at least ``least`` comparisons; give all of them."""
+    counts = compared.groupBy("project_id", "field", "delta").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("project_id", "field"))
+    out = counts.withColumn("total", total).withColumn("share", F.col("n") / F.col("total"))
+    return out.where((F.col("total") >= least) & (F.col("delta") != 0) & (F.col("share") >= share)).select("project_id", "field", "delta", "share")
 
-def critical_path(activities: DataFrame, links: DataFrame, calendars: DataFrame) -> DataFrame:
-    """Forward and backward passes of every project's network, one project in a task at a time.
 
-    activities: project_id, task_id, duration (work days, null or negative: 0), calendar_id, constraint_type,
-    constraint_date, start (earliest start of the project's data date, null allowed). links: project_id, pred, succ,
-    rel_type (FS, SS, FF, else SF), lag_days (on the predecessor's calendar). calendars: calendar_id, weekdays,
-    exceptions, overrides; at most some hundred rows, collected. Unknown calendars count as Monday to Friday.
+def dangling_links(links: DataFrame, activities: DataFrame) -> DataFrame:
+    """(project_id, n): how many links name an activity that their project doesn't have."""
+    ids = activities.select("project_id", "task_id").distinct()
+    a = links.join(ids.withColumnRenamed("task_id", "pred").withColumn("_p", F.lit(1)), ["project_id", "pred"], "left")
+    b = a.join(ids.withColumnRenamed("task_id", "succ").withColumn("_s", F.lit(1)), ["project_id", "succ"], "left")
+    return b.groupBy("project_id").agg(F.count_if(F.col("_p").isNull() | F.col("_s").isNull()).alias("n"))
 
-    Cycles are broken at the edge that closes one in order of task ids, and counted. Total float is the distance from
-    early to late finish; free float the least slack to a successor on its calendar, else the total float. An activity
-    is critical from a total float of 0 down. A project is as large as one schedule, so it fits a task; projects with
-    many activities do not meet others in memory.
-    """
-    known = {r["calendar_id"]: (list(r["weekdays"] or []), list(r["exceptions"] or []), list(r["overrides"] or [])) for r in calendars.limit(1000).collect()}
-    # Dealt by project once, for the lists, their join and the passes; a fixed number keeps small inputs from one task.
-    n = int(activities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nested = links.repartition(n, "project_id").groupBy("project_id").agg(F.collect_list(F.struct("pred", "succ", "rel_type", "lag_days")).alias("links"))
-    own = activities.repartition(n, "project_id").groupBy("project_id").agg(F.collect_list(F.struct("task_id", "duration", "calendar_id", "constraint_type", "constraint_date", "start")).alias("acts"))
-    both = own.join(nested, "project_id", "left")
-
-    def run(frames):
-        cals = {k: _Calendar(*v) for k, v in known.items()}
-        week = _Calendar(range(5), (), ())
-        for frame in frames:
-            rows = []
-            for pid, acts, edges in zip(frame["project_id"], frame["acts"], frame["links"], strict=True):
-                rows += _passes(pid, list(acts), [] if edges is None else list(edges), cals, week)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CPM.split(", ")])
-
-    return both.mapInPandas(run, _CPM)
-
-
-def _passes(pid, acts: list, edges: list, cals: dict, week: _Calendar) -> list[tuple]:
-    act = {a["task_id"]: a for a in acts}
-    cal = {t: cals.get(a["calendar_id"], week) for t, a in act.items()}
-    length = {t: max(0, int(a["duration"] or 0)) for t, a in act.items()}
-    out: dict[str, list] = {t: [] for t in act}
-    into: dict[str, list] = {t: [] for t in act}
-    order: list[str] = []
-    state: dict[str, int] = {}
-    raw: dict[str, list] = {t: [] for t in act}
-    for e in sorted(edges, key=lambda e: (e["pred"], e["succ"], e["rel_type"], e["lag_days"] or 0)):
-        if e["pred"] in act and e["succ"] in act:
-            raw[e["pred"]].append(e)
-    cycles = 0
-    for root in sorted(act):
-        stack = [(root, iter(raw[root]))] if root not in state else []
-        state.setdefault(root, 1)
-        while stack:
-            t, it = stack[-1]
-            e = next(it, None)
-            if e is None:
-                state[t] = 2
-                order.append(t)
-                stack.pop()
-            elif state.get(e["succ"]) == 1:
-                cycles += 1
-            else:
-                out[t].append(e)
-                into[e["succ"]].append(e)
-                if e["succ"] not in state:
-                    state[e["succ"]] = 1
-                    stack.append((e["succ"], iter(raw[e["succ"]])))
-    order.reverse()
-    starts = [a["start"] for a in acts if a["start"] is not None]
-    data = (min(starts) if starts else dt.date(2000, 1, 3)).toordinal()
-    es: dict[str, int] = {}
-    ef: dict[str, int] = {}
-    for t in order:
-        c, n = cal[t], length[t]
-        bound = data
-        for e in into[t]:
-            p, lag = e["pred"], int(e["lag_days"] or 0)
-            kind = e["rel_type"]
-            at = cal[p].add(ef[p] if kind in ("FS", "FF") else es[p], lag)
-            bound = max(bound, at if kind in ("FS", "SS") else c.add(at, -n))
-        rule, on = act[t]["constraint_type"], act[t]["constraint_date"]
-        on = None if on is None else on.toordinal()
-        if on is not None and rule == "CS_MSOA":
-            bound = max(bound, on)
-        if on is not None and rule in ("CS_MANDSTART", "CS_MSO"):
-            bound = on
-        es[t] = c.snap(bound) if n else bound
-        ef[t] = c.add(es[t], n)
-        if on is not None and rule in ("CS_MANDFIN", "CS_MEO"):
-            ef[t] = on + 1
-            es[t] = c.add(ef[t], -n)
-    end = max(ef.values(), default=data)
-    lf: dict[str, int] = {}
-    ls: dict[str, int] = {}
-    for t in reversed(order):
-        c, n = cal[t], length[t]
-        bound = end
-        for e in out[t]:
-            s, lag = e["succ"], int(e["lag_days"] or 0)
-            kind = e["rel_type"]
-            at = c.add(ls[s] if kind in ("FS", "SS") else lf[s], -lag)
-            bound = min(bound, at if kind in ("FS", "FF") else c.add(at, n))
-        pinned = act[t]["constraint_type"] in MANDATORY and act[t]["constraint_date"] is not None
-        lf[t] = ef[t] if pinned else (c.snap(bound, -1) if n else bound)
-        ls[t] = es[t] if pinned else c.add(lf[t], -n)
-    rows = []
-    for t in sorted(act):
-        total = cal[t].distance(ef[t], lf[t])
-        slack = []
-        for e in out[t]:
-            s, lag = e["succ"], int(e["lag_days"] or 0)
-            kind = e["rel_type"]
-            from_ = cal[t].add(ef[t] if kind in ("FS", "FF") else es[t], lag)
-            slack.append(cal[s].distance(from_, es[s] if kind in ("FS", "SS") else ef[s]))
-        free = min(slack) if slack else total
-        last = 1 if length[t] else 0
-        dates = [dt.date.fromordinal(x) for x in (es[t], ef[t] - last, ls[t], lf[t] - last)]
-        rows.append((pid, t, *dates, total, free, total <= 0, cycles))
-    return rows
-
-
-def reconcile(stored: DataFrame, computed: DataFrame, fields: dict[str, str], tolerance: int = 1) -> DataFrame:
-    """(project_id, task_id, field, delta) of date fields that differ by more than the tolerance in days."""
-    both = stored.join(computed, ["project_id", "task_id"])
-    parts = F.array(*[F.struct(F.lit(k).alias("field"), F.datediff(F.col(v), F.col(k)).alias("delta")) for k, v in fields.items()])
-    out = both.select("project_id", "task_id", F.explode(parts).alias("x")).select("project_id", "task_id", "x.*")
-    return out.where(F.abs("delta") > tolerance)
 
+def constraints(activities: DataFrame) -> DataFrame:
+    """A row for each constraint that an activity has (up to two)."""
+    pairs = F.array(F.struct(F.col("constraint_type").alias("type"), F.col("constraint_date").alias("date")), F.struct(F.col("constraint_type2").alias("type"), F.col("constraint_date2").alias("date")))
+    out = activities.select("project_id", "task_id", F.explode(pairs).alias("x")).select("project_id", "task_id", "x.type", "x.date")
+    return out.where(F.col("type").isNotNull() & (F.col("type") != "None"))
 
-def systematic_offset(deltas: DataFrame, *, least: int = 10, share: float = 0.8) -> DataFrame:
-    """(project_id, field, delta, share) where one non-zero delta makes up that share of at least ``least`` comparisons."""
-    counts = deltas.groupBy("project_id", "field", "delta").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("project_id", "field"))
-    out = counts.withColumn("total", total).withColumn("share", F.col("n") / F.col("total"))
-    return out.where((F.col("total") >= least) & (F.col("delta") != 0) & (F.col("share") >= share)).select("project_id", "field", "delta", "share")
+
+def negative_float(cpm: DataFrame) -> DataFrame:
+    """Activities with a total float below zero, the worst first."""
+    return cpm.where("total_float < 0").orderBy("total_float", "project_id", "task_id")
+
+
+def gated(verdicts: DataFrame, cpm: DataFrame) -> DataFrame:
+    """(project_id, rule, satisfied): null where no activity of the project was computed."""
+    done = cpm.where("early_start IS NOT NULL").select("project_id").distinct().withColumn("_c", F.lit(True))
+    return verdicts.join(done, "project_id", "left").withColumn("satisfied", F.when(F.col("_c"), F.col("satisfied"))).drop("_c")
 
 
 def paths_two_hops(links: DataFrame) -> DataFrame:
@@ -230,12 +125,3 @@ def paths_two_hops(links: DataFrame) -> DataFrame:
     one = links.select("project_id", "succ", "pred", F.lit(1).alias("hops"))
     a, b = links.select("project_id", "succ", F.col("pred").alias("mid")), links.select("project_id", F.col("succ").alias("mid"), "pred")
     return one.unionAll(a.join(b, ["project_id", "mid"]).select("project_id", "succ", "pred", F.lit(2).alias("hops")))
-
-
-def driving_chain(cpm: DataFrame, links: DataFrame) -> DataFrame:
-    """Critical finish-to-start links whose successor starts when the predecessor ends: the edges of driving chains."""
-    crit = cpm.where("is_critical").select("project_id", "task_id", "early_start", "early_finish")
-    p = crit.select("project_id", F.col("task_id").alias("pred"), F.col("early_finish").alias("pf"))
-    s = crit.select("project_id", F.col("task_id").alias("succ"), F.col("early_start").alias("ss"))
-    tight = links.where("rel_type = 'FS'").join(p, ["project_id", "pred"]).join(s, ["project_id", "succ"])
-    return tight.where(F.datediff("ss", "pf").between(0, 4)).select("project_id", "pred", "succ")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 CHUNK = T.StructType([T.StructField("id", T.StringType()), T.StructField("doc", T.StringType()), T.StructField("collection", T.StringType()), T.StructField("section_id", T.StringType()), T.StructField("section_title", T.StringType()), T.StructField("division", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("doc_type", T.StringType()), T.StructField("page_pdf", T.IntegerType()), T.StructField("chunk_index", T.IntegerType()), T.StructField("tables", T.ArrayType(T.StringType())), T.StructField("content", T.StringType())])
 
@@ -47,3 +48,17 @@ def copy_report(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
 def live(rows: DataFrame, as_of: str, expires: str = "expires_at") -> DataFrame:
     """Rows that haven't expired at a given time."""
     return rows.where(F.col(expires) > F.lit(as_of).cast("timestamp"))
+
+
+def ordered_chunks(rows: DataFrame, index: str = "chunk_index", key: str = "id") -> DataFrame:
+    """Rows with pos, their place from 0 in order of index (0 where there is none), then key.
+
+    Range partitions are numbered for themselves and shifted by the sizes of those before; only these sizes reach the driver.
+    """
+    spark = rows.sparkSession
+    order = [F.coalesce(index, F.lit(0)), F.col(key)]
+    placed = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    own = placed.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33))
+    ends = own.groupBy("_p").agg(F.count("*").alias("_n"))
+    shift = ends.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_s"))
+    return own.join(F.broadcast(shift), "_p").withColumn("pos", F.col("_s") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_s")

@@ -51,7 +51,7 @@ def test_adding_work_days_inverts_counting(spark):
 
 
 def test_open_ends_and_links_to_unknown_activities(spark):
-    acts = spark.createDataFrame([(1, "A", "Not Started"), (1, "B", None), (1, "C", "Completed")], "project_id long, task_id string, status string")
+    acts = spark.createDataFrame([(1, "A", "Not Started"), (1, "B", None), (1, "C", "Complete")], "project_id long, task_id string, status string")
     links = spark.createDataFrame([(1, "A", "B", "FS", 0), (1, "A", "X", "FS", 0)], LINK)
     assert S.known_links(links, acts).count() == 1
     assert {(r["task_id"], r["open_start"], r["open_finish"]) for r in S.open_ends(acts, links).collect()} == {("A", True, False), ("B", False, True)}
