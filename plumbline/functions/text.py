@@ -29,6 +29,10 @@ HEADINGS = {
 CAPTION = r"(?i)\bTABLE\s+(?:\d[\dA-Z]*(?:\.[\dA-Z]+)*(?:-\d+)?|[A-Z]\b)"
 SECTION_ANCHOR = r"(?i)\b\d{3,4}\.\d{2}(?:\.\d{2})?\b|\bSECTION\s+\d{3}\b"
 AMBIGUOUS_TABLE = r"^TABLE\s+[A-Z]$"
+NOT_HEADINGS = ["note", "notes", "figure", "table", "see", "ref"]
+NO_TITLE = "UNKNOWN MATERIAL PROCEDURE"
+FOOTNOTE = r"(?i)^\s*(?:\d+[.)]\s|[*†‡]\s*|Notes?[.:])"
+FIRST_SECTION = "Introduction"
 
 # Column names of printed schedules, and how their activity codes and dates look.
 SCHEDULE_HEADERS = ["activity id", "activity name", "orig dur", "rem dur", "total float", "early start", "early finish", "late start", "late finish", "start", "finish", "duration"]
@@ -85,6 +89,15 @@ def heading_id(line: Column) -> Column:
     )
 
 
+def heading_parts(line: Column) -> Column:
+    """struct(level, id, title) of a heading line; null for other lines."""
+    level, own = heading(line), F.trim(line)
+    ident = heading_id(own)
+    dashed = level.isin("division", "section", "appendix")
+    title = F.when(dashed, F.regexp_extract(own, r"\s+[\u2013\u2014-]\s+(.+)$", 1)).otherwise(F.regexp_extract(own, r"^\S+\s+(.+)$", 1))
+    return F.when(level.isNotNull(), F.struct(level.alias("level"), ident.alias("id"), title.alias("title")))
+
+
 def captions(text: Column) -> Column:
     """Distinct table captions in upper case with single spaces, sorted."""
     found = F.regexp_extract_all(text, F.lit(CAPTION), F.lit(0))
@@ -216,3 +229,52 @@ def lenient_answer(raw: Column) -> Column:
     body = F.from_json(without_fence(raw), "answer string, confidence double")
     ok = F.coalesce(body["answer"].isNotNull(), F.lit(False))
     return F.struct(F.when(ok, body["answer"]).otherwise(raw).alias("answer"), F.when(ok, body["confidence"]).alias("confidence"), ok.alias("parsed"))
+
+
+def document_title(lines: Column) -> Column:
+    """The first line in capitals with four words or more and neither colon nor digit; a fixed title if there is none."""
+    own = F.transform(lines, lambda x: F.trim(x))
+    fit = F.filter(own, lambda x: x.rlike(r"^[A-Z][A-Z\s,/()&.'-]+$") & (F.size(F.split(x, r"\s+")) >= 4))
+    return F.coalesce(F.try_element_at(fit, F.lit(1)), F.lit(NO_TITLE))
+
+
+def footnotes(lines: Column) -> Column:
+    """Footnotes of the lines under a table: a line that doesn't begin one goes on with the one before; lines before the first are left out."""
+    start = F.array().cast("array<string>")
+
+    def step(done: Column, x: Column) -> Column:
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), F.lit(" "), F.trim(x))))
+        return F.when(x.rlike(FOOTNOTE), F.concat(done, F.array(F.trim(x)))).when((F.size(done) > 0) & (F.trim(x) != ""), longer).otherwise(done)
+
+    return F.aggregate(lines, start, step)
+
+
+def item_pattern(item: Column) -> Column:
+    """A pattern for an item as a whole token, whatever the case; parts of dotted numbers may have leading zeros."""
+    dotted = F.concat_ws(r"\.", F.transform(F.split(item, r"\."), lambda p: F.concat(F.lit("0*"), F.regexp_replace(p, r"^0+(?=\d)", ""))))
+    plain = F.regexp_replace(item, r"([^A-Za-z0-9\s])", r"\\$1")
+    body = F.when(item.rlike(r"^\d+(?:\.\d+)+$"), dotted).otherwise(plain)
+    return F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])"), body, F.lit(r"(?![A-Za-z0-9])"))
+
+
+def names_item(text: Column, item: Column) -> Column:
+    return F.regexp_like(text, item_pattern(item))
+
+
+def numbered_or_error(text: Column, expected: Column) -> Column:
+    """struct(lines, error) of a numbered answer: an error if it has fewer lines than expected."""
+    found = numbered_lines(text)
+    short = F.size(found) < expected
+    return F.struct(found.alias("lines"), F.when(short, F.format_string("expected %d lines, found %d", expected, F.size(found))).alias("error"))
+
+
+def summary_line(kind: Column, doc: Column, section: Column, title: Column, division: Column) -> Column:
+    """What stands for a chunk's summary where no model gives one."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    own = F.concat(doc, F.when(kind == "table", " table ").otherwise(" section "), blank(section), F.lit(" "), blank(title), F.lit(" ("), blank(division), F.lit(")"))
+    return F.concat(own, F.when(kind == "table", " — tabular data.").otherwise("."))
+
+
+def fact_lines(*pairs: tuple[str, Column]) -> Column:
+    """Facts as lines of name and value; those without a value are left out."""
+    return F.concat_ws("\n", *[F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v.cast("string"))) for k, v in pairs])

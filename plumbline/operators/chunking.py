@@ -118,13 +118,118 @@ def html_blocks(df: DataFrame, key: str, html: str = "html") -> DataFrame:
     return each.select(key, "pos", F.regexp_extract("m", r"^<(h1|li|p)>", 1).alias("tag"), F.regexp_replace("m", r"^<[a-z0-9]+>", "").alias("body"))
 
 
-def amendment_blocks(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Blocks of an amendment, from one section header line to the next, without those shorter than 40 characters."""
-    found = blocks(lines(df, key, text), key, "line_no", F.col("line").rlike(X.SECTION_ANCHOR) & F.col("line").rlike(r"^(?i:section)?\s*\d{3}"))
-    return found.where(F.length("heading") >= 8)
+SECTION_LINE = r"^(\d{3}(?:\.\d{2}){1,2})\s+(\S.*)$"
+INSTRUCTION = r"^[A-Z][A-Z0-9 ,.()/'-]*:\s*$"
+
+
+def amendment_blocks(df: DataFrame, key: str, text: str = "text", least: int = 40) -> DataFrame:
+    """(key, block, section_id, section_title, change_type, amendment_text): from one section header line to the next.
+
+    The first line in capitals that ends in a colon is the instruction; what follows is the text. Page headers, what
+    stands after the code or the signatures, blocks of signatures and texts under ``least`` characters are left out.
+    """
+    each = lines(df, key, text)
+    each = each.where(~F.col("line").rlike(r"^BDC[\w-]+ Page \d+ of \d+"))
+    w = Window.partitionBy(key).orderBy("line_no")
+    head = F.col("line").rlike(SECTION_LINE)
+    marked = each.withColumn("block", F.sum(F.when(head, 1).otherwise(0)).over(w)).where("block > 0")
+    inner = Window.partitionBy(key, "block").orderBy("line_no")
+    over = F.max(F.col("line").contains("Implementation Code") | F.col("line").contains("Recommended By:")).over(inner)
+    first = F.min(F.when(F.col("line").rlike(INSTRUCTION), F.col("line_no"))).over(Window.partitionBy(key, "block"))
+    own = marked.withColumn("_i", first).withColumn("_end", over).where(~F.col("_end"))
+    body = F.when(F.col("line_no") > F.coalesce("_i", F.lit(-1)), F.struct("line_no", "line"))
+    g = own.groupBy(key, "block").agg(F.min_by("line", "line_no").alias("_h"), F.max(F.when(F.col("line_no") == F.col("_i"), F.col("line"))).alias("_c"), F.array_sort(F.collect_list(F.when(~head, body))).alias("_b"))
+    said = F.trim(F.array_join(F.transform("_b", lambda x: x["line"]), "\n"))
+    out = g.select(
+        key, "block", F.regexp_extract("_h", SECTION_LINE, 1).alias("section_id"), F.trim(F.regexp_extract("_h", SECTION_LINE, 2)).alias("section_title"),
+        F.coalesce(X.change_type(F.col("_c")), F.lit("amended")).alias("change_type"), said.alias("amendment_text"),
+    )
+    return out.where((F.length("amendment_text") >= least) & ~F.lower("section_title").rlike("recommended|approved|signed"))
+
+
+# Heading levels that open a block, by kind of document.
+BOUNDARIES = {"specs": ("subsection", "sub_subsection"), "scheduling": ("section", "subsection", "appendix"), "material": ("decimal_section",)}
+
+
+def section_blocks(each: DataFrame, doc: str, mode: str = "specs", *, order: str = "line_no", line: str = "line", page: str = "page") -> DataFrame:
+    """(doc, block, section_id, section_title, division, page, text) of ordered lines (doc, line_no, page, line).
+
+    A boundary heading opens a block with its number and title as first line. In specs, a division line only names what
+    follows, and a section line closes the block: text is dropped until the next boundary. Other headings are text, and
+    text before the first boundary is dropped.
+    """
+    w = Window.partitionBy(doc).orderBy(order)
+    own = each.withColumn("_h", X.heading_parts(F.trim(line)))
+    level = F.coalesce(F.col("_h.level"), F.lit(""))
+    opens = level.isin(*BOUNDARIES[mode])
+    shuts = (level == "section") if mode == "specs" else F.lit(False)
+    names = (level == "division") if mode == "specs" else F.lit(False)
+    own = own.withColumn("_o", opens).withColumn("_n", names)
+    own = own.withColumn("block", F.sum(F.when(F.col("_o"), 1).otherwise(0)).over(w)).withColumn("_open", F.last(F.when(F.col("_o"), True).when(shuts, False), ignorenulls=True).over(w))
+    own = own.withColumn("division", F.coalesce(F.last(F.when(F.col("_n"), F.col("_h.title")), ignorenulls=True).over(w), F.lit("")))
+    kept = own.where("_open AND NOT _n")
+    shown = F.when(F.col("_o"), F.concat_ws(" ", "_h.id", "_h.title")).otherwise(F.trim(line))
+    at = F.when(F.col("_o"), F.struct(F.col("_h.id").alias("id"), F.col("_h.title").alias("title"), "division", F.col(page).alias("page")))
+    g = kept.groupBy(doc, "block").agg(F.max(at).alias("_a"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), shown.alias("l")))).alias("_l"))
+    return g.select(doc, "block", F.col("_a.id").alias("section_id"), F.col("_a.title").alias("section_title"), F.col("_a.division").alias("division"), F.col("_a.page").alias("page"), F.array_join(F.transform("_l", lambda x: x["l"]), "\n").alias("text"))
+
+
+def whole_document(pages: DataFrame, doc: str, page: str, text: str = "text") -> DataFrame:
+    """(doc, text): the pages of each document in order, a blank line between them."""
+    g = pages.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t")))).alias("_a"))
+    return g.select(doc, F.array_join(F.transform("_a", lambda x: x["t"]), "\n\n").alias("text"))
+
+
+def header_windows(df: DataFrame, keys: list[str], tokens: Column, header: Column, size: int, overlap: int) -> DataFrame:
+    """(keys, chunk_index, start, tokens): windows of at most size tokens; later ones begin with the header's tokens and overlap the one before."""
+    own = df.select(*keys, tokens.alias("_t"), header.alias("_h")).where(F.size("_t") > 0)
+    step = F.greatest(F.lit(1), F.lit(size - overlap) - F.size("_h"))
+    more = F.when(F.size("_t") > size, F.ceil((F.size("_t") - size) / step)).otherwise(0).cast("int")
+    out = own.withColumn("_s", step).select("*", F.explode(F.sequence(F.lit(0), more)).alias("chunk_index"))
+    start = F.when(F.col("chunk_index") == 0, 0).otherwise(size - overlap + (F.col("chunk_index") - 1) * F.col("_s")).cast("int")
+    out = out.withColumn("start", start)
+    later = F.concat("_h", F.slice("_t", F.col("start") + 1, F.greatest(F.lit(1), size - F.size("_h"))))
+    return out.select(*keys, "chunk_index", "start", F.when(F.col("chunk_index") == 0, F.slice("_t", F.lit(1), size)).otherwise(later).alias("tokens"))
+
+
+def token_offsets(each: DataFrame, doc: str, order: str, line: str = "line", *others: str) -> DataFrame:
+    """Lines with the number of tokens that their document has before them."""
+    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = each.select(doc, order, *others, F.size(X.model_tokens(F.col(line))).alias("_n"))
+    return own.withColumn("offset", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+
+
+def heading_runs(each: DataFrame, doc: str, *, order: str = "line_no", line: str = "line", first: str = X.FIRST_SECTION) -> DataFrame:
+    """(doc, run, heading, text) of ordered lines: each from a heading of running text to the next; before it, the first section."""
+    w = Window.partitionBy(doc).orderBy(order)
+    head = narrative_heading(F.col(line))
+    own = each.withColumn("_h", head).withColumn("run", F.sum(F.when(head, 1).otherwise(0)).over(w))
+    body = F.when(~F.col("_h"), F.struct(F.col(order).alias("o"), F.col(line).alias("l")))
+    g = own.groupBy(doc, "run").agg(F.max(F.when(F.col("_h"), F.trim(line))).alias("_t"), F.array_sort(F.collect_list(body)).alias("_b"))
+    text = F.trim(F.array_join(F.transform("_b", lambda x: x["l"]), "\n"))
+    return g.select(doc, "run", F.coalesce("_t", F.lit(first)).alias("heading"), text.alias("text")).where("text <> ''")
+
+
+def table_chunk(caption: Column, rows: Column, notes: Column) -> Column:
+    """A table's chunk: caption, grid as Markdown, footnotes once."""
+    return F.concat_ws("\n\n", F.nullif(caption, F.lit("")), table_markdown(rows), F.when(F.size(notes) > 0, F.array_join(notes, "\n")))
+
+
+def row_chunks(df: DataFrame, key: str, rows: str, least: int = 50) -> DataFrame:
+    """(key, row, content): each row of a table of more than ``least`` rows with its header."""
+    own = df.where(F.size(rows) > least).select(key, F.col(rows)[0].alias("_h"), F.posexplode(F.slice(rows, 2, F.size(rows))).alias("row", "_r"))
+    return own.select(key, "row", F.concat_ws("\n", F.array_join("_h", " | "), F.array_join("_r", " | ")).alias("content"))
+
+
+def flat_header(rows: Column) -> Column:
+    """Two header rows as one: the upper carried rightwards, joined to the lower by a dash; cells alike or empty stand once."""
+    upper, lower = filled_header(rows[0]), F.transform(rows[1], lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    both = F.zip_with(upper, lower, lambda a, b: F.when((F.coalesce(b, F.lit("")) == "") | (a == b), a).when(F.coalesce(a, F.lit("")) == "", b).otherwise(F.concat(a, F.lit(" — "), b)))
+    return both
 
 
 def narrative_heading(line: Column) -> Column:
     """Whether a line is a heading of running text: short, not ended like a sentence, not numbered, in title or upper case."""
     t = F.trim(line)
-    return (F.length(t) > 0) & (F.length(t) <= 80) & ~t.rlike(r"[.,;)0-9]$") & ~t.rlike(r"^\d+[.)]\s") & (t.rlike(r"^(?:[A-Z][A-Za-z'/&-]*\s*)+$") | t.rlike(r"^[A-Z][A-Z\s/&-]+$"))
+    word = F.lower(F.regexp_extract(t, r"^(\S+)", 1))
+    return ~word.isin(*X.NOT_HEADINGS) & (F.length(t) > 0) & (F.length(t) <= 80) & ~t.rlike(r"[.,;)0-9]$") & ~t.rlike(r"^\d+[.)]\s") & (t.rlike(r"^(?:[A-Z][A-Za-z'/&-]*\s*)+$") | t.rlike(r"^[A-Z][A-Z\s/&-]+$"))
