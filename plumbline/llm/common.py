@@ -60,11 +60,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        stack.remove(held)
+        stack[:] = [x for x in stack if x is not held]
         for path in held:
             drop_table(spark, path)
 
 
+@contextmanager
+def collecting(held: set[str]) -> Iterator[None]:
+    """Puts the paths of tables that outlive their operators into held; whoever asked drops them later."""
+    stack = _OPEN.__dict__.setdefault("stack", [])
+    stack.append(held)
+    try:
+        yield
+    finally:
+        stack[:] = [x for x in stack if x is not held]
+
+
 def materialise(df: DataFrame, label: str, *, outlives: bool = False) -> DataFrame:
     """Writes the frame as Parquet into the shared folder and reads it back.
 
