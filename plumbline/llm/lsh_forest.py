@@ -181,24 +181,28 @@ def near_duplicates(
         return _grouped(df, text, key, width, percent, trees, depth, least, window, hubs)
 
 
+def _with_hubs(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots with each component's hub, the node with most links, and their number."""
+    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+    hub = ends.join(roots, "node").groupBy("root").agg(F.max(F.struct("degree", "node")).alias("hub"))
+    return roots.join(hub, "root")
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) between two components, with ra and rb, the roots of their ends (null: not linked)."""
+    """Pairs (a, b) between two components, with ha and hb, the hubs of their ends' components (null: not linked)."""
     for c in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
-    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"), F.col("hub").alias(f"h{c}")), c, "left")
+    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
 
 
-def _hub_pairs(apart: DataFrame, links: DataFrame, roots: DataFrame, hubs: int) -> DataFrame:
-    """(a, b): each node that has candidates in other components, with up to hubs of these components' best linked nodes.
+def _hub_pairs(apart: DataFrame, hubs: int) -> DataFrame:
+    """(a, b): each node that has candidates in other components, with up to hubs of these components' hubs.
 
-    Nodes fall into hubs parts by hash; of each part the one with most links counts, of a component and then of all
-    components that the node has candidates in. Both are maxima, so they are found before any shuffle.
+    Hubs fall into parts by hash, and of each part the one with most links counts: a maximum, found before any shuffle.
     """
-    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-    part = F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("part")
-    hub = ends.join(roots, "node").groupBy("root", part).agg(F.max(F.struct("degree", "node")).alias("hub"))
-    sides = [apart.select(F.col(x).alias("node"), F.col(f"r{y}").alias("root")) for x, y in ("ab", "ba")]
-    meets = sides[0].unionAll(sides[1]).distinct().join(hub, "root").groupBy("node", "part").agg(F.max("hub").alias("hub"))
+    sides = [apart.select(F.col(x).alias("node"), F.col(f"h{y}").alias("hub")) for x, y in ("ab", "ba")]
+    part = F.pmod(F.xxhash64("hub.node"), F.lit(hubs)).alias("part")
+    meets = sides[0].unionAll(sides[1]).where("hub IS NOT NULL").groupBy("node", part).agg(F.max("hub").alias("hub"))
     return meets.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
@@ -225,8 +229,8 @@ def _grouped(df: DataFrame, text: str, key: str, width: int, percent: int, trees
     links = materialise(confirmed(best, texts, width, percent), "links")
     roots = materialise(components(links), "roots")
     # Pairs that still lie between two components are looked at one by one, and so are their ends with the other component's hubs.
-    apart = materialise(_apart(pairs.select("a", "b"), roots), "apart")
-    asked = apart.select("a", "b").unionAll(_hub_pairs(apart, links, roots, hubs)).distinct().join(best, ["a", "b"], "left_anti")
+    apart = materialise(_apart(pairs.select("a", "b"), _with_hubs(roots, links)), "apart")
+    asked = apart.select("a", "b").unionAll(_hub_pairs(apart, hubs)).distinct().join(best, ["a", "b"], "left_anti")
     links = links.unionAll(materialise(confirmed(asked, texts, width, percent), "links"))
     roots = materialise(components(links), "roots")
 
