@@ -71,3 +71,20 @@ def effective_date(day: Column, code: Column) -> Column:
 def serial_date(n: Column) -> Column:
     """The date of a spreadsheet day number."""
     return F.date_add(F.lit("1899-12-30").cast("date"), n.cast("int"))
+
+
+# How a schedule export names days of the week, from the first.
+EXPORT_DAYS = ["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"]
+
+
+def export_calendar(data: Column) -> Column:
+    """struct(work_days, exceptions, overrides) of a calendar text of a schedule export.
+
+    A day works if it has shifts. Dated entries without shifts are exceptions, those with shifts overrides.
+    """
+    rest = F.regexp_extract(data, r"(?s)DaysOfWeek\(\)\((.*)$", 1)
+    week = F.regexp_replace(rest, r"(?s)\(0\|\|(?:Exceptions|VIEW).*$", "")
+    works = [F.when(week.contains(f"(0||{i}()(") & ~week.contains(f"(0||{i}()())"), F.lit(d)) for i, d in enumerate(EXPORT_DAYS, 1)]
+    dated = F.regexp_extract(data, r"(?s)\(0\|\|Exceptions\(\)\((.*)$", 1)
+    days = lambda p: F.transform(F.regexp_extract_all(dated, F.lit(p), F.lit(1)), lambda n: serial_date(n))
+    return F.struct(F.filter(F.array(*works), lambda d: d.isNotNull()).alias("work_days"), days(r"d\|(\d+)\)\(\)").alias("exceptions"), days(r"d\|(\d+)\)\([^)]").alias("overrides"))

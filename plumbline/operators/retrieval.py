@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -145,3 +146,67 @@ def as_of(rows: DataFrame, marks: DataFrame, group: str, at: str, value: str, de
     both = rows.select(group, at, F.lit(None).cast("string").alias("_v"), F.lit(1).alias("_k")).unionAll(marks.select(group, at, F.col(value).alias("_v"), F.lit(0)))
     carried = F.last("_v", ignorenulls=True).over(Window.partitionBy(group).orderBy(at, "_k", "_v"))
     return both.withColumn(value, F.coalesce(carried, F.lit(default))).where("_k = 1").select(group, at, value)
+
+
+def parse_search(query: str) -> list[dict[str, list]]:
+    """Alternatives of a search text: each with words, phrases (in quotes) and what a minus excludes; or stands between alternatives."""
+    out: list[dict[str, list]] = [{"words": [], "phrases": [], "without": []}]
+    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
+        tokens = re.findall(r"[a-z0-9]+", (phrase or word).lower())
+        if word.lower() == "or" and not minus:
+            out.append({"words": [], "phrases": [], "without": []})
+        elif minus:
+            out[-1]["without"].append(tokens)
+        elif phrase:
+            out[-1]["phrases"].append(tokens)
+        else:
+            out[-1]["words"] += tokens
+    return [a for a in out if any(a.values())]
+
+
+def web_search(df: DataFrame, query: str, k: int | None = 10, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows that some alternative of the search text fits, ranked by the sum of tf / (1 + tf) of all words asked for; ties by id.
+
+    A substring test of the raw text stands before any tokenizing, so rows without the words are dropped cheaply.
+    """
+    wanted = parse_search(query)
+    if not wanted:
+        return df.withColumn("rank_score", F.lit(0.0)).limit(0)
+    low = F.lower(F.col(text))
+    maybe = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [low.contains(t) for t in a["words"] + [w for p in a["phrases"] for w in p]], F.lit(True)) for a in wanted])
+    own = df.where(maybe).withColumn("_t", X.tokens(F.col(text))).withColumn("_j", F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")))
+    has = lambda ts: F.col("_j").contains(" " + " ".join(ts) + " ")
+    fits = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [has([w]) for w in a["words"]] + [has(p) for p in a["phrases"]] + [~has(p) for p in a["without"]], F.lit(True)) for a in wanted])
+    words = list(dict.fromkeys(w for a in wanted for w in a["words"] + [x for p in a["phrases"] for x in p]))
+    count = lambda w: F.size(F.filter("_t", lambda x: x == w)).cast("double")
+    tf = [count(w) for w in words]
+    ranked = own.where(fits).withColumn("rank_score", reduce(lambda a, b: a + b, [n / (n + 1) for n in tf], F.lit(0.0))).drop("_t", "_j")
+    return ranked.orderBy(F.desc("rank_score"), id_col).limit(k) if k else ranked
+
+
+def live_search(df: DataFrame, session: Column, as_of: str, search, *, expires: str = "expires_at") -> DataFrame:
+    """A search (a function of a frame) over a session's rows that haven't expired; both filters stand before the ranks."""
+    return search(df.where(session & (F.col(expires) > F.lit(as_of).cast("timestamp"))))
+
+
+def tagged_passages(found: DataFrame, tag: str, order: Sequence[Column], text: str = "text") -> DataFrame:
+    """One text of the rows found, each with its tag and place from 0, set apart by rules."""
+    rows = found.withColumn("_p", F.row_number().over(Window.orderBy(*order)) - 1)
+    line = F.concat(F.lit(f"[cite:{tag}-"), F.col("_p").cast("string"), F.lit("] "), F.col(text))
+    out = rows.agg(F.array_sort(F.collect_list(F.struct("_p", line.alias("t")))).alias("a"))
+    return out.select(F.array_join(F.transform("a", lambda x: x["t"]), "\n\n---\n\n").alias("passages"), F.size("a").cast("long").alias("n"))
+
+
+def hybrid_search(docs: DataFrame, vectors: DataFrame, query: str, vector_: Sequence[float], k: int = 15, *, section: str = "section", id_col: str = "id", text: str = "text") -> DataFrame:
+    """Both legs over a pool of max(5 k, 20) rows, fused with the weights that the query's kind asks for, the best row of each section, rounded to six places.
+
+    docs (id, text, section) and vectors (id, embedding); the keyword leg takes the cleaned query.
+    """
+    spark = docs.sparkSession
+    kind = spark.range(1).select(X.classify_query(F.lit(query)).alias("c"), X.clean_query(F.lit(query)).alias("q")).first()
+    pool = max(5 * k, 20)
+    near = vector_topk(vectors, vector_, pool, id_col=id_col, floor=0.0).select(F.col(id_col).alias("id"), "similarity")
+    words = web_search(docs, kind["q"], pool, id_col=id_col, text=text).select(F.col(id_col).alias("id"), "rank_score")
+    legs = [(ranked(near, [F.desc("similarity"), F.asc("id")]), kind["c"]["vector_weight"]), (ranked(words, [F.desc("rank_score"), F.asc("id")]), kind["c"]["keyword_weight"])]
+    best = dedup_sections(fuse(legs), docs.select(F.col(id_col).alias("id"), F.col(section).alias("section")), k)
+    return best.select("id", "section", F.round("score", 6).alias("score"))

@@ -61,3 +61,67 @@ def pick_milestone(rows: DataFrame, project: str, ids: tuple[str, ...], pattern:
         F.count_if(by_id).alias("_i"), F.max(F.when(by_id, F.coalesce("finish", "start"))).alias("_f"), F.count_if(named).alias("_n"), F.max(F.when(named, F.coalesce("finish", "start"))).alias("_g")
     )
     return g.select(project, F.when(F.col("_i") == 1, F.col("_f")).when((F.col("_i") == 0) & (F.col("_n") == 1), F.col("_g")).alias("finish"))
+
+
+def resolved_point(lat_raw: Column, lon_raw: Column, lat: Column, lon: Column) -> Column:
+    """struct(lat, lon, missing): coordinates as printed before those converted elsewhere; longitudes of 73 to 76 are west."""
+    from ..functions.text import coordinate
+
+    y = F.coalesce(coordinate(lat_raw), lat)
+    x = F.coalesce(coordinate(lon_raw), F.when(lon.between(73, 76), -lon).otherwise(lon))
+    lost = F.filter(F.array(F.when(y.isNull(), "latitude"), F.when(x.isNull(), "longitude")), lambda v: v.isNotNull())
+    return F.struct(y.alias("lat"), x.alias("lon"), lost.alias("missing"))
+
+
+def region_status(name: Column) -> Column:
+    """Pass where a region was found, else Missing."""
+    return F.when(name.isNotNull(), "Pass").otherwise("Missing")
+
+
+# Words of resurfacing and of structure items, and the least work days from award to start by kind of project.
+RESURFACING = ["mill", "resurfac", "overlay"]
+STRUCTURE = ["bridge", "abutment", "pier", "structural steel", "beam", "deck", "culvert"]
+AWARD_MINIMUM = {"Federal": 55, "State": 40, "Pavement Preservation": 25}
+
+
+def project_types(projects: DataFrame, items: DataFrame) -> DataFrame:
+    """(project_id, kind, minimum): Federal by either number (federal_no, narrative_no), Pavement Preservation if half or more
+    of the physical items resurface and none is a structure, else State.
+
+    projects: project_id, federal_no, narrative_no; items: project_id, description.
+    """
+    from ..functions.text import non_physical
+
+    has = lambda words: F.coalesce(F.lower("description").rlike("|".join(words)), F.lit(False))
+    own = items.where(~non_physical(F.col("description"))).groupBy("project_id").agg(F.count("*").alias("_n"), F.count_if(has(RESURFACING)).alias("_m"), F.count_if(has(STRUCTURE)).alias("_s"))
+    paving = F.coalesce((F.col("_s") == 0) & (2 * F.col("_m") >= F.col("_n")), F.lit(False))
+    kind = F.when(F.coalesce("federal_no", "narrative_no").isNotNull(), "Federal").when(paving, "Pavement Preservation").otherwise("State")
+    least = F.create_map(*[F.lit(x) for pair in AWARD_MINIMUM.items() for x in pair])
+    return projects.join(own, "project_id", "left").select("project_id", kind.alias("kind")).withColumn("minimum", least[F.col("kind")])
+
+
+def gap_rule(gap: Column, minimum: Column) -> Column:
+    """Whether a gap in work days is long enough; null without it."""
+    return gap >= minimum
+
+
+def cost_gap(cost_text: Column, substantial: Column, final: Column) -> Column:
+    """Whether final completion follows substantial completion late enough for the cost; null without dates or a plausible cost."""
+    from ..functions.text import money, required_gap
+
+    cost = money(cost_text)
+    return F.when(cost.between(10000, 5000000000), F.datediff(final, substantial) >= required_gap(cost))
+
+
+def item_coverage(items: DataFrame, least: float = 0.6) -> DataFrame:
+    """(project_id, total, excluded, uncovered, low, covered, status) of items (project_id, item, description, confidence).
+
+    Items without construction work don't count. Uncovered ones fail, low ones are Missing; a project whose items are all
+    excluded passes.
+    """
+    from ..functions.text import non_physical
+
+    out, c = non_physical(F.col("description")), F.col("confidence")
+    n = lambda cond: F.count_if(cond)
+    g = items.groupBy("project_id").agg(n(~out).alias("total"), n(out).alias("excluded"), n(~out & c.isNull()).alias("uncovered"), n(~out & (c < least)).alias("low"), n(~out & (c >= least)).alias("covered"))
+    return g.withColumn("status", F.when(F.col("uncovered") > 0, "Fail").when(F.col("low") > 0, "Missing").otherwise("Pass"))

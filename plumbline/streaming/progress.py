@@ -59,3 +59,21 @@ def ingest_once(stream: DataFrame, table_path: str, keys: list[str], checkpoint:
         out.write.mode("append").parquet(table_path)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def merged(events: DataFrame, fields: list[str], key: str = "user_id", ts: str = "ts", seq: str = "event_id") -> DataFrame:
+    """The latest known value of each field by key: a later event without a field leaves it as it was. Batches and streams."""
+    order = F.struct(ts, seq)
+    return events.groupBy(key).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), order)).alias(f) for f in fields], F.max(ts).alias("at"))
+
+
+def done_of_total(events: DataFrame, totals: DataFrame, terminal: tuple[str, ...], key: str = "user_id", status: str = "event_type") -> DataFrame:
+    """(key, done, total): how many of a key's steps have ended, never more than its total. totals (key, total) is static."""
+    done = events.groupBy(key).agg(F.count_if(F.col(status).isin(*terminal)).alias("done"))
+    return done.join(totals, key).withColumn("done", F.least("done", "total"))
+
+
+def with_fallback(states: DataFrame, stored: DataFrame, keys: DataFrame, key: str = "user_id") -> DataFrame:
+    """The state of each asked key: the live one, else the stored one, else none."""
+    out = keys.join(states.select(key, F.col("status").alias("_live")), key, "left").join(stored.select(key, F.col("status").alias("_held")), key, "left")
+    return out.select(key, F.coalesce("_live", "_held").alias("status"), F.when(F.col("_live").isNotNull(), "live").when(F.col("_held").isNotNull(), "stored").otherwise("none").alias("origin"))
