@@ -492,3 +492,44 @@ def test_shingle_hashes_in_parts_are_the_same():
     raw, offsets = byte_view(pa.array(["Ab cd  EF " * 50, "x", ""]))
     a, b, _ = shingles.words(raw, offsets)
     assert (shingles.word_hashes(raw, a, b) == shingles.word_hashes(raw, a, b, most=17)).all()
+
+
+def test_deep_pages_and_names_of_several_words(spark):
+    page = lambda i, more="": f"<html><body><article><h1>Title {i}</h1><p>Words of page {i} that stay where they are.</p>{more}</article></body></html>"
+    slot = lambda i: f'<div class="promo-slot">Offer number {i}</div>'
+    deep = "<article>" + "<div>" * 100_000 + "deep words" + "</div>" * 100_000 + "</article>"
+    rows = [(i, f"http://a.example/{i}", page(i, slot(i))) for i in range(6)]
+    rows += [(10, "http://b.example/1", page(10, '<div class="related-work"><p>Work like this.</p></div><section id="search-results"><p>Found things.</p></section>')), (11, "http://b.example/2", deep)]
+    out = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Title {i}\nWords of page {i} that stay where they are." for i in range(6))
+    assert out[10].endswith("Work like this.\nFound things.") and out[11] == "deep words"
+
+
+def test_tables_go_with_their_block(spark):
+    from plumbline.llm import common
+
+    with common.scratch(spark):
+        inner = common.materialise(spark.range(3), "inner")
+        outer = common.materialise(spark.range(4), "outer", outlives=True)
+        paths = [f.inputFiles()[0].rsplit("/", 1)[0] for f in (inner, outer)]
+    exists = [spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p)) for p in paths]
+    assert exists == [False, True] and outer.count() == 4
+
+
+def test_near_duplicates_match_sql(spark, tmp_path, docs, sf_dir):
+    import duckdb
+
+    from plumbline.llm import queries
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    got = queries.op3_lsh_forest(spark, sf_dir).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    want = duck.sql(f"SELECT doc_id, n_shingles, component_id, kept FROM ({queries.ORACLE_SQL['op3_lsh_forest']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_repeats_query_gives_the_text(spark, sf_dir):
+    from plumbline.llm import queries
+
+    out = queries.op9_prefix_free(spark, sf_dir).where("n_removed = 0").join(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text AS own"), "doc_id")
+    assert out.count() > 0 and out.where("text <> own").count() == 0
