@@ -74,6 +74,16 @@ def stitch(chunks: DataFrame, key: str, *, most: int = 300) -> DataFrame:
     return joined.select(key, F.flatten(F.transform("p", lambda x: x["t"])).alias("tokens"), "n_overlaps", "n_chunks")
 
 
+def without_ends(pages: DataFrame, group: str, page: str, *, first: int, last: int) -> DataFrame:
+    """Pages without the first and last ones of each group. page is unique over all groups.
+
+    Only the ends are ranked, and ranks are limited in each task before a shuffle, so a group may hold any share of all pages.
+    """
+    keys = pages.select(group, page)
+    ends = [keys.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_r") <= n) for order, n in ((F.asc(page), first), (F.desc(page), last))]
+    return pages.join(ends[0].unionAll(ends[1]).select(page), page, "left_anti")
+
+
 def table_kind(rows: Column) -> Column:
     """wide_sparse, multi_header, lookup or simple, of a grid of cells."""
     empty = F.aggregate(rows, F.lit(0), lambda s, r: s + F.size(F.filter(r, lambda c: F.trim(F.coalesce(c, F.lit(""))) == "")))

@@ -27,9 +27,20 @@ def vector_topk(df: DataFrame, query: Sequence[float], k: int = 10, *, id_col: s
     return scored.orderBy(F.desc("similarity"), F.asc(id_col)).limit(k)
 
 
-def vector_topk_batch(df: DataFrame, probes: DataFrame, k: int = 5, *, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """The k rows most alike each of a bounded set of probes (probe_id, probe): probes are broadcast, ranks limited in each task."""
-    pairs = df.select(F.col(id_col).alias("id"), F.col(embedding).alias("_e")).join(F.broadcast(probes), F.col("id") != F.col("probe_id"))
+def vector_topk_batch(df: DataFrame, probes: DataFrame, k: int = 5, *, id_col: str = "vec_id", embedding: str = "embedding", most: int = 4096) -> DataFrame:
+    """The k rows most alike each probe (probe_id, probe), without the probe's own row; ranks are limited in each task.
+
+    Up to ``most`` probes (counted first) are broadcast. More meet the rows block by block: rows fall into as many blocks as
+    there are shuffle partitions, by a hash of their id, and each block gets all probes.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(id_col).alias("id"), F.col(embedding).alias("_e"))
+    if probes.limit(most + 1).count() <= most:
+        pairs = rows.join(F.broadcast(probes), F.col("id") != F.col("probe_id"))
+    else:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        asked = probes.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        pairs = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).join(asked, "_b").where(F.col("id") != F.col("probe_id"))
     scored = pairs.select("probe_id", "id", cosine(F.col("_e"), F.col("probe"), 0.0).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.desc("similarity"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -56,9 +67,15 @@ def keyword_topk(df: DataFrame, terms: Sequence[str] = (), k: int | None = 10, *
     return ranked.orderBy(F.desc("rank_score"), id_col).limit(k) if k else ranked
 
 
-def keyword_postings(df: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """An inverted index: (lexeme, id, tf), for many queries at once; partition it by lexeme when it is written."""
-    return df.select(F.col(id_col).alias("id"), F.explode(X.tokens(F.col(text))).alias("lexeme")).groupBy("lexeme", "id").agg(F.count("*").alias("tf"))
+def keyword_postings(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", asked: DataFrame | None = None) -> DataFrame:
+    """An inverted index: (lexeme, id, tf), for many queries at once; partition it by lexeme when it is written.
+
+    With asked, queries as keyword_batch takes them, only their lexemes are counted and shuffled.
+    """
+    words = df.select(F.col(id_col).alias("id"), F.explode(X.tokens(F.col(text))).alias("lexeme"))
+    if asked is not None:
+        words = words.join(asked.select(F.explode("terms").alias("lexeme")).distinct(), "lexeme", "left_semi")
+    return words.groupBy("lexeme", "id").agg(F.count("*").alias("tf"))
 
 
 def keyword_batch(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -43,11 +43,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("vector_topk_batch", f"""
     SELECT probe_id, vec_id, rank, round(s, 6) AS similarity FROM (
       SELECT q.vec_id AS probe_id, e.vec_id, {_COS} AS s, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS INTEGER) AS rank
-      FROM embeddings e JOIN (SELECT vec_id, embedding FROM embeddings ORDER BY vec_id LIMIT 20) q ON e.vec_id <> q.vec_id) WHERE rank <= 5""")
+      FROM embeddings e JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q ON e.vec_id <> q.vec_id) WHERE rank <= 5""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Twenty probes at once; the set of probes is the batch's limit."""
+    """Every fiftieth vector as a probe, against all rows."""
     e = table(spark, d, "embeddings")
-    probes = e.select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("probe")).orderBy("probe_id").limit(20)
+    probes = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("probe"))
     found = R.vector_topk_batch(e, probes, 5)
     return found.select("probe_id", F.col("id").alias("vec_id"), "rank", F.round("similarity", 6).alias("similarity"))
 
@@ -79,7 +79,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, doc_id, rank, round(s, 6) AS rank_score FROM (SELECT h.*, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS INTEGER) AS rank FROM h JOIN n USING (query_id) WHERE found = n) WHERE rank <= 5""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     queries = spark.createDataFrame([(1, ["the", "and"]), (2, ["und", "die"]), (3, ["les"])], "query_id int, terms array<string>")
-    found = R.keyword_batch(R.keyword_postings(table(spark, d, "documents")).withColumn("tf", F.col("tf")), queries, 5)
+    found = R.keyword_batch(R.keyword_postings(table(spark, d, "documents"), asked=queries), queries, 5)
     return found.select("query_id", F.col("id").alias("doc_id"), "rank", F.round("rank_score", 6).alias("rank_score"))
 
 
@@ -220,11 +220,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("retrieval_probe", f"""
     WITH t AS (SELECT q.vec_id AS probe_id, q.label AS ql, e.label, {_COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank
-      FROM embeddings e JOIN (SELECT * FROM embeddings ORDER BY vec_id LIMIT 20) q ON e.vec_id <> q.vec_id)
+      FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q ON e.vec_id <> q.vec_id)
     SELECT probe_id, count(*) AS n_rows, round(max(s), 6) AS top_similarity, bool_or(label = ql) AS anchor_in_top FROM t WHERE rank <= 5 GROUP BY probe_id""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    probes = e.orderBy("vec_id").limit(20)
+    probes = e.where("vec_id % 50 = 0")
     found = R.vector_topk_batch(e, probes.select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("probe")), 5)
     own = found.join(e.select(F.col("vec_id").alias("id"), "label"), "id").join(probes.select(F.col("vec_id").alias("probe_id"), F.col("label").alias("ql")), "probe_id")
     return own.groupBy("probe_id").agg(F.count("*").alias("n_rows"), F.round(F.max("similarity"), 6).alias("top_similarity"), F.bool_or(F.col("label") == F.col("ql")).alias("anchor_in_top"))

@@ -123,11 +123,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("page_filter", "SELECT doc_id FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, count(*) OVER (PARTITION BY source) AS pages FROM documents) WHERE page > 2 AND page <= pages - 1 AND trim(text, ' ') <> '' AND text <> '[NO TEXT]'")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Pages between front matter (two) and tail (one) of each document, without blank ones."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("source")
-    own = table(spark, d, "documents").withColumn("page", F.row_number().over(w.orderBy("doc_id"))).withColumn("pages", F.count("*").over(w))
-    return own.where((F.col("page") > 2) & (F.col("page") <= F.col("pages") - 1) & (F.trim("text") != "") & (F.col("text") != "[NO TEXT]")).select("doc_id")
+    docs = table(spark, d, "documents")
+    inner = C.without_ends(docs.select("source", "doc_id", "text"), "source", "doc_id", first=2, last=1)
+    return inner.where((F.trim("text") != "") & (F.col("text") != "[NO TEXT]")).select("doc_id")
 
 
 @query("line_blocks", """
@@ -156,11 +154,10 @@ for _size, _overlap, _header in ((750, 100, 12), (600, 100, 0), (500, 50, 0), (8
         return found.select("doc_id", "chunk_index", "start", "n_tokens")
 
 
-@query("chunk_stitch", f"SELECT doc_id, len({_MODEL}) AS n_tokens, md5(array_to_string({_MODEL}, ' ')) AS digest FROM documents WHERE len({_MODEL}) > 0 AND len(list_distinct({_MODEL})) > 100")
+@query("chunk_stitch", f"SELECT doc_id, len({_MODEL}) AS n_tokens, md5(array_to_string({_MODEL}, ' ')) AS digest FROM documents WHERE len({_MODEL}) > 0")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 600 tokens, stitched together again: the tokens of the text come back."""
-    docs = table(spark, d, "documents").where(F.size(F.array_distinct(X.model_tokens(F.col("text")))) > 100)
-    windows = C.token_windows(docs, "doc_id", X.model_tokens(F.col("text")), 600, 100)
+    windows = C.token_windows(table(spark, d, "documents"), "doc_id", X.model_tokens(F.col("text")), 600, 100)
     return C.stitch(windows, "doc_id").select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
 
 

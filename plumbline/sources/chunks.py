@@ -22,10 +22,14 @@ def read_pages(spark: SparkSession, path: str, text: str = "text") -> DataFrame:
 
 
 def resolve_collections(wanted: DataFrame, known: DataFrame) -> DataFrame:
-    """(target, collection): the longest known name that equals the target or begins it before an underscore."""
-    k = known.select(F.col("collection").alias("name"))
-    hit = (F.col("target") == F.col("name")) | F.startswith(F.col("target"), F.concat("name", F.lit("_")))
-    return wanted.join(F.broadcast(k), hit, "left").groupBy("target").agg(F.max_by("name", F.length("name")).alias("collection"))
+    """(target, collection): the longest known name that equals the target or begins it before an underscore.
+
+    Each target asks for its own beginnings, so the join is on equal names, however many are known.
+    """
+    parts = F.split("target", "_")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "_"))
+    asked = wanted.select("target", F.explode_outer(heads).alias("head"))
+    return asked.join(known.select(F.col("collection").alias("name")), F.col("head") == F.col("name"), "left").groupBy("target").agg(F.max_by("name", F.length("name")).alias("collection"))
 
 
 def new_rows(rows: DataFrame, held: DataFrame) -> DataFrame:

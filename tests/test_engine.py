@@ -105,3 +105,24 @@ def test_ingest_twice_keeps_one_copy(spark, sf_dir, tmp_path):
         q = progress.ingest_once(progress.event_stream(spark, str(source)), table, ["event_id"], str(tmp_path / f"check{k}"))
         q.awaitTermination(120)
     assert spark.read.parquet(table).count() == 50
+
+
+def test_probes_in_blocks_find_the_same_rows(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    probes = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("probe"))
+    few, many = (sorted((r["probe_id"], r["rank"], r["id"]) for r in R.vector_topk_batch(e, probes, 3, most=most).collect()) for most in (4096, 2))
+    assert few == many and len(few) == 3 * probes.count()
+
+
+def test_pages_between_the_ends_of_uneven_groups(spark):
+    pages = spark.createDataFrame([("hot", i) for i in range(50)] + [("two", 100), ("two", 101), ("four", 200), ("four", 201), ("four", 202), ("four", 203), (None, 300)], "doc string, page long")
+    got = {r["page"] for r in C.without_ends(pages, "doc", "page", first=2, last=1).collect()}
+    assert got == {*range(2, 49), 202}
+    assert C.without_ends(pages.limit(0), "doc", "page", first=2, last=1).count() == 0
+
+
+def test_postings_of_asked_words_are_those_of_the_index(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    asked = spark.createDataFrame([(1, ["the", "and"]), (2, ["the", "no-such-word"])], "query_id int, terms array<string>")
+    all_, some = (sorted(map(tuple, p.where("lexeme IN ('the', 'and')").collect())) for p in (R.keyword_postings(docs), R.keyword_postings(docs, asked=asked)))
+    assert all_ == some and len(some) > 0
