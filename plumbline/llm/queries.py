@@ -111,6 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_trie_bpe": op10_trie_bpe,
 }
 
+#: What separates words where lines are counted (white space of Python's str.split), as a regular-expression class.
+_SPACE = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: DuckDB SQL where it can express a query; the other queries are tested against brute force in tests/llm.
@@ -124,4 +126,17 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.d),
         m AS (SELECT d, min(c) AS c FROM r GROUP BY 1)
         SELECT m.d AS doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, m.d = m.c AS kept FROM m LEFT JOIN n ON n.doc_id = m.d""",
+    # A line with words is a window; a blank one is looked up with the blank lines before the next such line, and after the last one.
+    "op6_line_runs": rf"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+        p AS (SELECT *, CASE WHEN regexp_matches(line, '[^{_SPACE}]') THEN pos END AS w FROM l),
+        t AS (SELECT *, max(w) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS low,
+            min(w) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS high FROM p),
+        x AS (SELECT doc_id, low AS a, pos AS b FROM t WHERE low IS NOT NULL UNION SELECT doc_id, pos, high FROM t WHERE high IS NOT NULL),
+        c AS (SELECT x.*, md5(array_to_string(ls[a + 1:b + 1], chr(10))) AS body FROM x JOIN d USING (doc_id)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY body, b - a ORDER BY doc_id, a) AS copy FROM c),
+        g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS pos, true AS gone FROM r WHERE copy > 1),
+        k AS (SELECT doc_id, count(*) AS n_lines, count(gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (gone IS NULL), '') AS kept
+            FROM l LEFT JOIN g USING (doc_id, pos) GROUP BY 1)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(kept) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
 }

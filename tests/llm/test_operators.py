@@ -113,6 +113,16 @@ def test_text_images(spark, odd, empty):
     assert media.with_image_features(media.with_text_image(empty)).count() == 0
 
 
+def test_feature_is_a_cosine_transform():
+    x = np.random.default_rng(5).integers(0, 256, (70, 64)).astype(np.float64)
+    band = lambda a: np.array([a[i * len(a) // 32 : (i + 1) * len(a) // 32].mean(0) for i in range(32)])
+    small = band(band(x).T).T
+    wave = lambda u, i: np.cos(np.pi * u * (2 * i + 1) / 64)
+    low = np.array([sum(small[i, j] * wave(u, i) * wave(v, j) for i in range(32) for j in range(32)) for u in range(8) for v in range(8)])
+    bits = "".join("1" if c > np.median(low[1:]) else "0" for c in low)
+    assert media.cosine_hash(x.astype(np.uint8)) == f"{int(bits, 2):016x}"
+
+
 # 3
 
 
@@ -406,6 +416,27 @@ def test_packing(spark, docs, rows, odd, empty):
     assert packing.pack(empty, byte_bpe_path()).count() == 0
 
 
+def test_packing_query_against_the_library(spark, sf_dir, rows):
+    from tokenizers import Tokenizer
+
+    from plumbline.llm.queries import op8_harmonic_packing
+
+    library = Tokenizer.from_file(byte_bpe_path())
+    ids = {k: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for k, t in rows}
+    pieces, bins = defaultdict(list), defaultdict(list)
+    for r in op8_harmonic_packing(spark, sf_dir).collect():
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for held, size in [*((pieces[k], len(x)) for k, x in ids.items()), *((v, None) for v in bins.values())]:
+        held.sort()
+        total = sum(n for _, n in held)
+        assert [a for a, _ in held] == np.cumsum([0] + [n for _, n in held])[:-1].tolist()
+        assert total == size if size is not None else total <= 1024
+    assert sum(map(len, ids.values())) >= 0.97 * 1024 * len(bins)
+
+
 @given(st.integers(1, 10_000))
 def test_pieces_cover_and_fill_their_class(n):
     parts = packing.pieces_of(n, 1024)
@@ -516,16 +547,35 @@ def test_tables_go_with_their_block(spark):
     assert exists == [False, True] and outer.count() == 4
 
 
-def test_near_duplicates_match_sql(spark, tmp_path, docs, sf_dir):
+@pytest.mark.parametrize("name", ["op3_lsh_forest", "op6_line_runs"])
+def test_queries_match_sql(spark, sf_dir, name):
     import duckdb
 
     from plumbline.llm import queries
 
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    got = queries.op3_lsh_forest(spark, sf_dir).select("doc_id", "n_shingles", "component_id", "kept").collect()
-    want = duck.sql(f"SELECT doc_id, n_shingles, component_id, kept FROM ({queries.ORACLE_SQL['op3_lsh_forest']})").fetchall()
-    assert sorted(map(tuple, got)) == sorted(want)
+    got, want = queries.QUERIES[name](spark, sf_dir), duck.sql(queries.ORACLE_SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_line_runs_sql_knows_blank_lines(spark, tmp_path):
+    import duckdb
+
+    from plumbline.llm import queries
+
+    rnd = np.random.default_rng(11)
+    pool = ["", "", " ", "\t", "one line", "two", "\u00a0", "three more", "x"]
+    made = [(k, "\n".join(pool[i] for i in rnd.integers(0, len(pool), rnd.integers(1, 9)))) for k in range(120)] + [(200, None), (201, ""), (202, "\n\n")]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.sql(queries.ORACLE_SQL["op6_line_runs"])
+    got = queries.op6_line_runs(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+    gone = lines_by_force([(k, t) for k, t in made if t is not None], 1)
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {k: sum(g[0] == k for g in gone) for k, _ in made}
 
 
 def test_repeats_query_gives_the_text(spark, sf_dir):
