@@ -76,6 +76,25 @@ def collecting(held: set[str]) -> Iterator[None]:
         stack[:] = [x for x in stack if x is not held]
 
 
+#: Lets a statement's shuffle files go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Statements inside drop their shuffle files when they end, not when the driver next collects garbage: what they
+    have written is read from its table, so nothing asks for these files again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, label: str, *, outlives: bool = False) -> DataFrame:
     """Writes the frame as Parquet into the shared folder and reads it back.
 
@@ -89,7 +108,8 @@ def materialise_at(df: DataFrame, label: str, *, outlives: bool = False) -> tupl
     """As materialise, also returning the path so that the caller can drop_table() it sooner."""
     spark = df.sparkSession
     path = table_path(spark, label)
-    df.write.parquet(path)
+    with releasing(spark):
+        df.write.parquet(path)
     blocks_ = getattr(_OPEN, "stack", [])[: -1 if outlives else None]
     if blocks_:
         blocks_[-1].add(path)

@@ -583,3 +583,22 @@ def test_repeats_query_gives_the_text(spark, sf_dir):
 
     out = queries.op9_prefix_free(spark, sf_dir).where("n_removed = 0").join(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text AS own"), "doc_id")
     assert out.count() > 0 and out.where("text <> own").count() == 0
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import glob
+    import time
+
+    from plumbline.llm import common
+
+    folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()
+    files = lambda: set(glob.glob(f"{folder}/**/shuffle_*.data", recursive=True))
+    before, setting = files(), spark.conf.get(common._CLEANUP)
+    with common.scratch(spark):
+        out = common.materialise(spark.range(50_000).repartition(5, F.xxhash64("id")), "spread")
+        for _ in range(40):  # files are removed in the background
+            if files() <= before:
+                break
+            time.sleep(0.25)
+        assert files() <= before and out.count() == 50_000
+    assert spark.conf.get(common._CLEANUP) == setting
