@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import gated, line_runs, lsh_forest, packing, prefix_free
-from plumbline.llm.common import collecting, drop_table, free_name, materialise
+from plumbline.llm.common import collecting, drop_table, free_name, materialise, materialise_at
 from plumbline.llm.queries import byte_bpe_path, toxicity_model
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -105,10 +105,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir; a stage's table goes when the next one's is written."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{name}")
+            docs, path = materialise_at(docs, f"stage-{name}")
+            if held:
+                drop_table(spark, held)
+            held = path
     return docs
