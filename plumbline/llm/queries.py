@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, curves, gated, line_runs, lsh_forest, media, packing, pages, prefix_free, sharding
+from . import bpe, curves, gated, interpolation, line_runs, lsh_forest, media, packing, pages, prefix_free, sharding, spelling, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -98,6 +98,25 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, byte_bpe_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their spelling's form and root; see spelling.variants."""
+    return spelling.variants(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a model learned from those that aren't held out; see interpolation.score."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    return interpolation.score(docs, ~held_out).select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op13_merged_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of all embeddings; see whitening.whiten."""
+    return whitening.whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_text_images": op2_text_images,
@@ -109,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_prefix_free": op9_prefix_free,
     "op10_trie_bpe": op10_trie_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_deleted_interpolation": op12_deleted_interpolation,
+    "op13_merged_whitening": op13_merged_whitening,
 }
 
 #: What separates words where lines are counted (white space of Python's str.split), as a regular-expression class.
