@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, byte_view, materialise, partitions, scratch
+from .common import blocks, byte_view, drop_table, materialise, materialise_at, partitions, scratch
 from .components import components
 from .shingles import set_ids, shingle_sets, signatures
 
@@ -70,7 +70,7 @@ def _near(rows: dict[str, np.ndarray], window: int, least: int, most_bits: int,
         x, y = rows["n"][i], rows["n"][j]
         # Of unsigned numbers: of negative ones, bitwise_count takes the absolute value.
         bits = sum(np.bitwise_count((rows[s][i] ^ rows[s][j]).view(np.uint64)).astype(np.int64) for s in _SKETCH)
-        keep = (bits <= most_bits) & (np.minimum(x, y) >= share * np.maximum(x, y)) & (rows["node"][i] != rows["node"][j])
+        keep = (bits <= most_bits) & (np.minimum(x, y) >= share * np.maximum(x, y)) & (rows["root"][i] != rows["root"][j])
         i, j, bits = i[keep], j[keep], bits[keep]
         p, q = rows["node"][i], rows["node"][j]
         found.append(pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "bits": bits}))
@@ -78,7 +78,7 @@ def _near(rows: dict[str, np.ndarray], window: int, least: int, most_bits: int,
 
 
 def candidates(nodes: DataFrame, *, window: int, least: int, most_bits: int, share: float) -> DataFrame:
-    """Pairs a < b of nodes that are neighbours in some signature order, with the number of sketch bits that differ.
+    """Pairs a < b of nodes with different roots that are neighbours in some signature order, with the number of sketch bits that differ.
 
     Each tree sorts all nodes by its labels and, where these are equal, by the next tree's, over range partitions. A node meets the window rows after it, as far as
     they share least labels with it. Sorting puts the longest common prefixes next to it, so the depth that a meeting
@@ -87,11 +87,11 @@ def candidates(nodes: DataFrame, *, window: int, least: int, most_bits: int, sha
     spark = nodes.sparkSession
     turned = [F.concat(F.slice(c, 2, F.size(c)), F.slice(c, 1, 1)).alias(f"next_{c}") for c in ("hi", "lo")]
     orders = F.arrays_zip("hi", "lo", *turned)
-    rows = nodes.select("node", F.col("n_shingles").alias("n"), *_SKETCH, F.posexplode(orders).alias("tree", "o"))
-    rows = rows.select("tree", *[F.col(f"o.{c}").alias(c) for c in ("hi", "lo", "next_hi", "next_lo")], "node", "n", *_SKETCH)
+    rows = nodes.select("node", "root", F.col("n_shingles").alias("n"), *_SKETCH, F.posexplode(orders).alias("tree", "o"))
+    rows = rows.select("tree", *[F.col(f"o.{c}").alias(c) for c in ("hi", "lo", "next_hi", "next_lo")], "node", "root", "n", *_SKETCH)
     keys = ["tree", "hi", "lo", "next_hi", "next_lo", "node"]
     placed = rows.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
-    names = [*keys, "n", *_SKETCH]
+    names = [*keys, "root", "n", *_SKETCH]
     schema = "a long, b long, bits long, part int, at long, " + ", ".join(f"{c} {'int' if c == 'tree' else 'long'}" for c in names)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,14 +161,15 @@ def near_duplicates(
     depth: int = 8,
     least: int = 3,
     window: int = 32,
+    first_window: int = 4,
     hubs: int = 8,
 ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
     Documents with equal sets count as one node before any pair is made. Candidates come from the forest; those that
     differ in more of 512 sketch bits than a linked pair does (by over 3.7 standard deviations) are left out, the others are
-    confirmed on their full sets: first the likeliest partner of each node, then every candidate whose ends are still
-    in different components. In a group of many variants, most are linked to few texts only, such as the common
+    confirmed on their full sets: first the likeliest partner of each node among the first_window next ones, then every
+    candidate of the whole window whose ends are still in different components. In a group of many variants, most are linked to few texts only, such as the common
     original. So a node that still has candidates in another component meets that component's hubs, its best linked
     texts, too.
 
@@ -178,7 +179,7 @@ def near_duplicates(
     and share their component. An empty table gives no rows. Other columns of df are not read.
     """
     with scratch(df.sparkSession):
-        return _grouped(df, text, key, width, percent, trees, depth, least, window, hubs)
+        return _grouped(df, text, key, width, percent, trees, depth, least, window, first_window, hubs)
 
 
 def _with_hubs(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -188,11 +189,18 @@ def _with_hubs(roots: DataFrame, links: DataFrame) -> DataFrame:
     return roots.join(hub, "root")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+def _hubs_of(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) between two components, with ha and hb, the hubs of their ends' components (null: not linked)."""
     for c in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"), F.col("hub").alias(f"h{c}")), c, "left")
-    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("hub").alias(f"h{c}")), c, "left")
+    return pairs
+
+
+def _texts_of(pairs: DataFrame, nodes: DataFrame, base: DataFrame) -> tuple[DataFrame, str]:
+    """(node, text) for the nodes of pairs, one text of each, as a table; and its path."""
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes.select("node", "one.tkey", F.col("one.k").alias("k")), "node")
+    found = base.select(F.coalesce("key", F.lit((1 << 63) - 1)).alias("k"), "tkey", "text").join(wanted, ["k", "tkey"])
+    return materialise_at(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
 def _hub_pairs(apart: DataFrame, hubs: int) -> DataFrame:
@@ -206,7 +214,7 @@ def _hub_pairs(apart: DataFrame, hubs: int) -> DataFrame:
     return meets.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
-def _grouped(df: DataFrame, text: str, key: str, width: int, percent: int, trees: int, depth: int, least: int, window: int, hubs: int) -> DataFrame:
+def _grouped(df: DataFrame, text: str, key: str, width: int, percent: int, trees: int, depth: int, least: int, window: int, first_window: int, hubs: int) -> DataFrame:
     base = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tkey"))
     signed = materialise(with_signatures(base, "text", trees, depth, width), "signatures")
     first = F.min(F.struct(F.coalesce("key", F.lit((1 << 63) - 1)).alias("k"), "tkey"))
@@ -216,21 +224,22 @@ def _grouped(df: DataFrame, text: str, key: str, width: int, percent: int, trees
     nodes = materialise(nodes, "nodes")
     bits, agree = _BITS, 0.5 + percent / 200
     most = int(np.ceil(bits * (1 - agree) + 3.7 * np.sqrt(bits * agree * (1 - agree))))
-    pairs = materialise(candidates(nodes, window=window, least=least, most_bits=most, share=percent / 100), "candidates")
-    sides = [pairs.select(F.col(x).alias("node"), F.col(y).alias("other"), "bits") for x, y in ("ab", "ba")]
-    both = sides[0].unionAll(sides[1])
+    found = {"least": least, "most_bits": most, "share": percent / 100}
 
-    wanted = both.select("node").distinct().join(nodes.select("node", "one.tkey", F.col("one.k").alias("k")), "node")
-    found = base.select(F.coalesce("key", F.lit((1 << 63) - 1)).alias("k"), "tkey", "text").join(wanted, ["k", "tkey"])
-    texts = materialise(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
-
-    best = both.groupBy("node").agg(F.min(F.struct("bits", "other")).alias("m"))
+    pairs = materialise(candidates(nodes.withColumn("root", F.col("node")), window=min(first_window, window), **found), "candidates")
+    sides = [pairs.select(F.col(x).alias("node"), F.col(y).alias("other"), "bits") for x, y in ("ab", "ba")]
+    best = sides[0].unionAll(sides[1]).groupBy("node").agg(F.min(F.struct("bits", "other")).alias("m"))
     best = materialise(best.select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b")).distinct(), "asked")
+    texts, path = _texts_of(best, nodes, base)
     links = materialise(confirmed(best, texts, width, percent), "links")
-    roots = materialise(components(links), "roots")
-    # Pairs that still lie between two components are looked at one by one, and so are their ends with the other component's hubs.
-    apart = materialise(_apart(pairs.select("a", "b"), _with_hubs(roots, links)), "apart")
-    asked = apart.select("a", "b").unionAll(_hub_pairs(apart, hubs)).distinct().join(best, ["a", "b"], "left_anti")
+    drop_table(df.sparkSession, path)
+    # Neighbours in the whole window count where they still lie in two components; they are looked at one by one, and so
+    # are they with the other component's hubs.
+    known = materialise(_with_hubs(components(links), links), "roots")
+    rooted = nodes.join(known.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = materialise(_hubs_of(candidates(rooted, window=window, **found), known), "apart")
+    asked = materialise(apart.select("a", "b").unionAll(_hub_pairs(apart, hubs)).distinct().join(best, ["a", "b"], "left_anti"), "asked")
+    texts, _ = _texts_of(asked, nodes, base)
     links = links.unionAll(materialise(confirmed(asked, texts, width, percent), "links"))
     roots = materialise(components(links), "roots")
 
