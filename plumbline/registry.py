@@ -33,4 +33,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["hybrid_section_dedup"](spark, sf_dir)
 
 
-from .plans import evidence, fulltext, networks, prose, reports, retrieval, scalars, schedule, selection, streams, texts  # noqa: E402, F401  (they register their queries)
+from .plans import calendars, evidence, fulltext, networks, prose, reports, retrieval, scalars, schedule, selection, streams, texts  # noqa: E402, F401  (they register their queries)
