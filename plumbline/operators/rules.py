@@ -85,7 +85,7 @@ AWARD_MINIMUM = {"Federal": 55, "State": 40, "Pavement Preservation": 25}
 
 
 def project_types(projects: DataFrame, items: DataFrame) -> DataFrame:
-    """(project_id, kind, minimum): Federal by either number (federal_no, narrative_no), Pavement Preservation if half or more
+    """(project_id, kind, minimum): Federal by either number (federal_no, narrative_no) that isn't blank, Pavement Preservation if half or more
     of the physical items resurface and none is a structure, else State.
 
     projects: project_id, federal_no, narrative_no; items: project_id, description.
@@ -95,7 +95,8 @@ def project_types(projects: DataFrame, items: DataFrame) -> DataFrame:
     has = lambda words: F.coalesce(F.lower("description").rlike("|".join(words)), F.lit(False))
     own = items.where(~non_physical(F.col("description"))).groupBy("project_id").agg(F.count("*").alias("_n"), F.count_if(has(RESURFACING)).alias("_m"), F.count_if(has(STRUCTURE)).alias("_s"))
     paving = F.coalesce((F.col("_s") == 0) & (2 * F.col("_m") >= F.col("_n")), F.lit(False))
-    kind = F.when(F.coalesce("federal_no", "narrative_no").isNotNull(), "Federal").when(paving, "Pavement Preservation").otherwise("State")
+    given = lambda c: F.nullif(F.trim(c), F.lit(""))
+    kind = F.when(F.coalesce(given("federal_no"), given("narrative_no")).isNotNull(), "Federal").when(paving, "Pavement Preservation").otherwise("State")
     least = F.create_map(*[F.lit(x) for pair in AWARD_MINIMUM.items() for x in pair])
     return projects.join(own, "project_id", "left").select("project_id", kind.alias("kind")).withColumn("minimum", least[F.col("kind")])
 
