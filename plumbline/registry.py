@@ -33,4 +33,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["hybrid_section_dedup"](spark, sf_dir)
 
 
-from .plans import calendars, evidence, fulltext, geometry, networks, prose, reports, retrieval, review, scalars, schedule, selection, streams, texts  # noqa: E402, F401  (they register their queries)
+from .plans import calendars, evidence, fulltext, geometry, networks, prose, questions, reports, retrieval, review, scalars, schedule, selection, stores, streams, texts  # noqa: E402, F401  (they register their queries)
