@@ -162,14 +162,15 @@ def near_duplicates(
     least: int = 3,
     window: int = 32,
     first_window: int = 4,
+    rounds: int = 3,
     hubs: int = 8,
 ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
     Documents with equal sets count as one node before any pair is made. Candidates come from the forest; those that
     differ in more of 512 sketch bits than a linked pair does (by over 3.7 standard deviations) are left out, the others are
-    confirmed on their full sets: first the likeliest partner of each node among the first_window next ones, then every
-    candidate of the whole window whose ends are still in different components. In a group of many variants, most are linked to few texts only, such as the common
+    confirmed on their full sets: first, in a few rounds, the likeliest partner of each node in another component among the
+    first_window next ones, then every candidate of the whole window whose ends are still in different components. In a group of many variants, most are linked to few texts only, such as the common
     original. So a node that still has candidates in another component meets that component's hubs, its best linked
     texts, too.
 
@@ -179,7 +180,7 @@ def near_duplicates(
     and share their component. An empty table gives no rows. Other columns of df are not read.
     """
     with scratch(df.sparkSession):
-        return _grouped(df, text, key, width, percent, trees, depth, least, window, first_window, hubs)
+        return _grouped(df, text, key, width, percent, trees, depth, least, window, first_window, rounds, hubs)
 
 
 def _with_hubs(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -196,6 +197,13 @@ def _hubs_of(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components."""
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
+
+
 def _texts_of(pairs: DataFrame, nodes: DataFrame, base: DataFrame) -> tuple[DataFrame, str]:
     """(node, text) for the nodes of pairs, one text of each, as a table; and its path."""
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes.select("node", "one.tkey", F.col("one.k").alias("k")), "node")
@@ -214,7 +222,7 @@ def _hub_pairs(apart: DataFrame, hubs: int) -> DataFrame:
     return meets.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
-def _grouped(df: DataFrame, text: str, key: str, width: int, percent: int, trees: int, depth: int, least: int, window: int, first_window: int, hubs: int) -> DataFrame:
+def _grouped(df: DataFrame, text: str, key: str, width: int, percent: int, trees: int, depth: int, least: int, window: int, first_window: int, rounds: int, hubs: int) -> DataFrame:
     base = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tkey"))
     signed = materialise(with_signatures(base, "text", trees, depth, width), "signatures")
     first = F.min(F.struct(F.coalesce("key", F.lit((1 << 63) - 1)).alias("k"), "tkey"))
@@ -227,18 +235,29 @@ def _grouped(df: DataFrame, text: str, key: str, width: int, percent: int, trees
     found = {"least": least, "most_bits": most, "share": percent / 100}
 
     pairs = materialise(candidates(nodes.withColumn("root", F.col("node")), window=min(first_window, window), **found), "candidates")
-    sides = [pairs.select(F.col(x).alias("node"), F.col(y).alias("other"), "bits") for x, y in ("ab", "ba")]
-    best = sides[0].unionAll(sides[1]).groupBy("node").agg(F.min(F.struct("bits", "other")).alias("m"))
-    best = materialise(best.select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b")).distinct(), "asked")
-    texts, path = _texts_of(best, nodes, base)
-    links = materialise(confirmed(best, texts, width, percent), "links")
+    texts, path = _texts_of(pairs, nodes, base)
+    links, done, still = None, None, pairs
+    for _ in range(rounds):
+        # Each node with its likeliest partner of those in another component: as many pairs as nodes at most.
+        sides = [still.select(F.col(x).alias("node"), F.col(y).alias("other"), "bits") for x, y in ("ab", "ba")]
+        best = sides[0].unionAll(sides[1]).groupBy("node").agg(F.min(F.struct("bits", "other")).alias("m"))
+        best = materialise(best.select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b")).distinct(), "asked")
+        if best.isEmpty():
+            break
+        new = materialise(confirmed(best, texts, width, percent), "links")
+        links, done = (new, best) if links is None else (links.unionAll(new), done.unionAll(best))
+        roots = materialise(components(links), "roots")
+        still = _apart(pairs, roots).join(done, ["a", "b"], "left_anti")
     drop_table(df.sparkSession, path)
+    if links is None:
+        links = done = pairs.select("a", "b")
+        roots = materialise(components(links), "roots")
     # Neighbours in the whole window count where they still lie in two components; they are looked at one by one, and so
     # are they with the other component's hubs.
-    known = materialise(_with_hubs(components(links), links), "roots")
+    known = materialise(_with_hubs(roots, links), "roots")
     rooted = nodes.join(known.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = materialise(_hubs_of(candidates(rooted, window=window, **found), known), "apart")
-    asked = materialise(apart.select("a", "b").unionAll(_hub_pairs(apart, hubs)).distinct().join(best, ["a", "b"], "left_anti"), "asked")
+    asked = materialise(apart.select("a", "b").unionAll(_hub_pairs(apart, hubs)).distinct().join(done, ["a", "b"], "left_anti"), "asked")
     texts, _ = _texts_of(asked, nodes, base)
     links = links.unionAll(materialise(confirmed(asked, texts, width, percent), "links"))
     roots = materialise(components(links), "roots")
