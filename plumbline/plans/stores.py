@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..registry import query
+from ..registry import query, table
 from ..session import shared_folder
 from ..sources.graph_store import GraphStore
+from ..streaming.ingest import KeyedTable
 from .schedule import _ACT_SQL, _LINK_SQL, activities, links
 
 _NODE = T.StructType([T.StructField("project_id", T.LongType()), T.StructField("node", T.StringType()), T.StructField("start", T.DateType()), T.StructField("duration", T.DoubleType()), T.StructField("note", T.StringType())])
@@ -51,3 +52,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     store = graph_store(spark, d)
     nodes = store.read("nodes").groupBy("project_id").agg(F.count("*").alias("n_nodes"), F.sum("duration").alias("total"))
     return nodes.join(store.read("edges").groupBy("project_id").agg(F.count("*").alias("n_edges"), F.sum("lag_days").alias("lags")), "project_id")
+
+
+@query("ingest_batches", "SELECT event_id, user_id, event_type, value, CAST(event_id % 3 AS INTEGER) AS batch FROM events")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """All events in three batches that overlap: each keeps the events that no batch before it brought, and its own copy of them."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    schema = T.StructType([*events.schema.fields, T.StructField("batch", T.IntegerType())])
+    held = KeyedTable(spark, f"{shared_folder(spark)}/events-{uuid.uuid4().hex}", schema, ["event_id"], buckets=8)
+    for n in range(3):
+        held.add(events.where(F.col("event_id") % 3 <= n).withColumn("batch", F.lit(n)), n)
+    held.add(events.withColumn("batch", F.lit(2)), 2)  # a batch that comes again
+    return held.read()
