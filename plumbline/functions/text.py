@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words of question phrasing that a keyword search leaves out.
-QUESTION_WORDS = (
-    "what whats which who whom whose when where why how is are was were be been being do does did have has had "
-    "can could may might must shall should will would the a an allowed required specified defined described stated "
-    "used given listed mentioned noted indicated provide gives describe explain state list tell show please per"
-).split()
+QUESTION_WORDS = [
+    "what", "whats", "which", "who", "whom", "whose", "when", "where", "why", "how", "is", "are", "was", "were", "be", "been", "being", "do", "does",
+    "did", "have", "has", "had", "can", "could", "may", "might", "must", "shall", "should", "will", "would", "the", "a", "an", "allowed", "required",
+    "specified", "defined", "described", "stated", "used", "given", "listed", "mentioned", "noted", "indicated", "provide", "gives", "describe",
+    "explain", "state", "list", "tell", "show", "please", "per",
+]
 
 # Patterns that make a query keyword-heavy, and acronyms that make it mixed.
 SECTION_NUMBER = r"(?i)\b\d{3}\.\d{2}\b|\bsection\s+\d+\b"
