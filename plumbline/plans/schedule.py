@@ -229,3 +229,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     """Links of each project by their confidence, as the graph's report counts them."""
     found = G.link_names(*_named(spark, d), within=["project"], least=1.0)
     return found.groupBy("project", "confidence").agg(F.count("*").alias("n"), F.countDistinct("entity").alias("n_entities"), F.countDistinct("activity").alias("n_activities"), F.min("entity").alias("first"))
+
+
+@query("deep_paths", """WITH RECURSIVE n AS (SELECT doc_id AS id, CASE WHEN doc_id % 150 = 0 THEN NULL WHEN doc_id % 150 = 140 THEN -1 WHEN doc_id % 7 = 0 THEN doc_id - least(7, doc_id % 150) ELSE doc_id - 1 END AS parent, source AS name FROM documents),
+    p AS (SELECT id, name AS path, 1 AS depth FROM n WHERE parent IS NULL UNION ALL SELECT n.id, p.path || ' > ' || n.name, p.depth + 1 FROM p JOIN n ON n.parent = p.id)
+    SELECT id, md5(path) AS path, CAST(depth AS INTEGER) AS depth FROM p""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Trees up to 140 levels deep, with branches and parents that nobody knows."""
+    i = F.col("doc_id")
+    up = F.when(i % 150 == 0, None).when(i % 150 == 140, F.lit(-1)).when(i % 7 == 0, i - F.least(F.lit(7), i % 150)).otherwise(i - 1)
+    found = G.tree_paths(table(spark, d, "documents").select(i.alias("id"), up.alias("parent"), F.col("source").alias("name")))
+    return found.select("id", F.md5(F.col("path").cast("binary")).alias("path"), "depth")

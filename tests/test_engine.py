@@ -126,3 +126,12 @@ def test_postings_of_asked_words_are_those_of_the_index(spark, sf_dir):
     asked = spark.createDataFrame([(1, ["the", "and"]), (2, ["the", "no-such-word"])], "query_id int, terms array<string>")
     all_, some = (sorted(map(tuple, p.where("lexeme IN ('the', 'and')").collect())) for p in (R.keyword_postings(docs), R.keyword_postings(docs, asked=asked)))
     assert all_ == some and len(some) > 0
+
+
+def test_paths_of_deep_trees_and_loops(spark):
+    from plumbline.operators.graph import tree_paths
+
+    rows = [(i, i - 1 if i else None, str(i)) for i in range(300)] + [(1000, 1001, "a"), (1001, 1002, "b"), (1002, 1000, "c"), (1003, 1000, "below a loop"), (2000, 9999, "lost"), (3000, 3000, "itself"), (4000, None, None), (4001, 4000, "x")]
+    got = {r["id"]: (r["path"], r["depth"]) for r in tree_paths(spark.createDataFrame(rows, "id int, parent int, name string")).collect()}
+    assert got.keys() == {*range(300), 4000, 4001} and got[299] == (" > ".join(map(str, range(300))), 300) and got[4001] == (None, 2)
+    assert tree_paths(spark.createDataFrame([], "id int, parent int, name string")).count() == 0
