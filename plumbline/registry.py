@@ -33,4 +33,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["hybrid_section_dedup"](spark, sf_dir)
 
 
-from .plans import calendars, evidence, fulltext, geometry, narratives, networks, prose, questions, reports, retrieval, review, rows, scalars, schedule, selection, shapes, stores, streams, texts  # noqa: E402, F401  (they register their queries)
+from .plans import calendars, evidence, fulltext, geometry, narratives, networks, prose, questions, rendering, reports, retrieval, review, rows, scalars, schedule, selection, shapes, stores, streams, texts  # noqa: E402, F401  (they register their queries)
