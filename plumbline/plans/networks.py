@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import loops as L
 from ..operators import network as N
 from ..operators import schedule as S
 from ..operators import selection as W
@@ -211,3 +212,28 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     lag = links(act).where("lag_days <> 0").select("project_id", F.lit(1).alias("sec"), (F.col("pred") * 1000 + F.col("succ")).alias("pos"), F.format_string("lag %d %d %d", "pred", "succ", "lag_days").alias("line"))
     pin = act.where("constraint_type IS NOT NULL").select("project_id", F.lit(2).alias("sec"), F.col("seq").alias("pos"), F.format_string("constraint %d %s", "seq", "constraint_type").alias("line"))
     return W.facts(lag.unionAll(pin), act.select("project_id").distinct(), "project_id", sections=(1, 2))
+
+
+# Links onwards, some back by one to three places and some to the activity itself.
+_LOOPS_SQL = f"""WITH RECURSIVE {_ACT_SQL}, e AS (SELECT project_id, pred, succ FROM (SELECT project_id, seq AS pred, seq + 1 AS succ FROM act WHERE l_partkey % 4 <> 0 UNION ALL SELECT project_id, seq, CAST(seq - 1 - l_suppkey % 3 AS INTEGER) FROM act WHERE l_suppkey % 5 = 0 UNION ALL SELECT project_id, seq, seq FROM act WHERE l_partkey % 31 = 0) WHERE succ >= 1),
+    r AS (SELECT DISTINCT project_id, pred AS a, succ AS b FROM e UNION SELECT r.project_id, r.a, e.succ FROM r JOIN e ON e.project_id = r.project_id AND e.pred = r.b),
+    m AS (SELECT x.project_id, x.a AS task_id, x.b AS other FROM r x JOIN r y ON x.project_id = y.project_id AND x.a = y.b AND x.b = y.a), c AS (SELECT project_id, task_id, min(other) AS component, count(DISTINCT other) AS size FROM m GROUP BY 1, 2)"""
+
+
+def _loops(spark: SparkSession, d: str) -> DataFrame:
+    act = activities(spark, d)
+    seq, s = F.col("seq"), F.col("l_suppkey")
+    ends = F.array(F.when(F.col("l_partkey") % 4 != 0, seq + 1), F.when(s % 5 == 0, (seq - 1 - s % 3).cast("int")), F.when(F.col("l_partkey") % 31 == 0, seq))
+    return act.select("project_id", seq.alias("pred"), F.explode(ends).alias("succ")).where("succ >= 1")
+
+
+@query("network_loops", f"{_LOOPS_SQL} SELECT * FROM c")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Activities that lie in loops of their project's links."""
+    return L.strong_components(_loops(spark, d))
+
+
+@query("loop_links", f"{_LOOPS_SQL} SELECT e.*, x.component FROM e JOIN c x ON x.project_id = e.project_id AND x.task_id = e.pred JOIN c y ON y.project_id = e.project_id AND y.task_id = e.succ AND y.component = x.component")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    links = _loops(spark, d)
+    return L.loop_links(links, L.strong_components(links))
