@@ -42,7 +42,9 @@ def repeated_runs(lines: DataFrame, windows: DataFrame) -> DataFrame:
     lines: from the ranks of its two halves, each sequence that occurs again gets its place in the order of all. Suffixes
     with equal rank are an interval of the suffix array whose common prefix has 2**k lines or more. Sequences that occur
     once, and those cut off by the end of a text, are settled and leave, so later rounds hold only what repeats longer.
-    A window of 2**k to 2**(k+1) - 1 lines is known by the ranks of its first and its last 2**k lines.
+    A window of 2**k lines is a sequence of its round, whose first place the rank's group gives. Windows have to follow from
+    their lines alone, as those of least_windows() do, so that each place of the sequence is a window too.
+    A longer one, of up to 2**(k+1) - 1 lines, is known by the ranks of its first and its last 2**k lines.
 
     With the windows of least_windows() this finds just the lines of earlier matches that have the words: a match can be
     cut at its ends until it is the least window that starts at a line of it, or the least one that ends with the line.
@@ -51,14 +53,18 @@ def repeated_runs(lines: DataFrame, windows: DataFrame) -> DataFrame:
     most = windows.agg(F.max("n")).first()[0] or 0
     place, found = F.struct("doc", "row", "low"), []
     while width <= most and not level.isEmpty():
-        sized = windows.where(F.col("n").between(width, 2 * width - 1)).withColumn("last", F.col("low") + F.col("n") - width)
-        heads = level.select("doc", "row", F.col("pos").alias("low"), F.col("rank").alias("head"))
-        tails = level.select("row", F.col("pos").alias("last"), F.col("rank").alias("tail"))
-        known, sized_path = materialise_at(sized.join(heads, ["row", "low"]).join(tails, ["row", "last"]), "windows")
-        firsts = known.groupBy("n", "head", "tail").agg(F.min(place).alias("first"), F.count("*").alias("_n")).where("_n > 1")
-        later = known.join(firsts, ["n", "head", "tail"]).where(place > F.col("first"))
-        found.append(materialise(later.select("row", "low", (F.col("low") + F.col("n") - 1).alias("high")), "runs"))
-        drop_table(lines.sparkSession, sized_path)
+        whole = windows.where(F.col("n") == width).withColumnRenamed("low", "pos").join(level, ["row", "pos"])
+        later = whole.where(F.struct(*_ORDER) > F.col("first"))
+        found.append(materialise(later.select("row", F.col("pos").alias("low"), (F.col("pos") + F.col("n") - 1).alias("high")), "runs"))
+        if width > 1:
+            sized = windows.where(F.col("n").between(width + 1, 2 * width - 1)).withColumn("last", F.col("low") + F.col("n") - width)
+            heads = level.select("doc", "row", F.col("pos").alias("low"), F.col("rank").alias("head"))
+            tails = level.select("row", F.col("pos").alias("last"), F.col("rank").alias("tail"))
+            known, sized_path = materialise_at(sized.join(heads, ["row", "low"]).join(tails, ["row", "last"]), "windows")
+            firsts = known.groupBy("n", "head", "tail").agg(F.min(place).alias("first"), F.count("*").alias("_n")).where("_n > 1")
+            later = known.join(firsts, ["n", "head", "tail"]).where(place > F.col("first"))
+            found.append(materialise(later.select("row", "low", (F.col("low") + F.col("n") - 1).alias("high")), "runs"))
+            drop_table(lines.sparkSession, sized_path)
         if 2 * width > most:
             break
         after = level.select("row", (F.col("pos") - width).alias("pos"), F.col("rank").alias("next"))
@@ -105,7 +111,8 @@ def without_repeated_runs(df: DataFrame, *, text: str = "text", key: str = "doc_
 
         windows = materialise(docs.select("row", body.alias("body")).where("body is not null").mapInArrow(bounds, "row long, low int, n int"), "line-windows")
         gone = materialise(repeated_runs(lines, windows).groupBy("row").agg(F.collect_list("pos").alias("gone")), "gone-lines", outlives=True)
-    joined = docs.join(gone, "row", "left").select(*[F.col(f"own.{c}").alias(c) for c in names], F.col("gone").alias(spot))
+    # A shuffle at every size: all lines that go are no broadcast, and disk grows with the input from small tables on.
+    joined = docs.join(gone.hint("shuffle_merge"), "row", "left").select(*[F.col(f"own.{c}").alias(c) for c in names], F.col("gone").alias(spot))
     others = [c for c in names if c != text]
     schema = T.StructType([*df.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 

@@ -346,6 +346,13 @@ def test_line_runs_query_takes_short_lines(spark, tmp_path):
     assert got == {1: 0, 2: 2, 3: 1}
 
 
+def test_line_runs_move_texts_alike_at_every_size(spark):
+    made = [(k, f"same line\n\nown {k}") for k in range(20)]
+    out = line_runs.without_repeated_runs(spark.createDataFrame(made, "doc_id long, text string"), min_words=1)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["n_removed"] for r in out.collect()} == {k: 2 * (k > 0) for k, _ in made}
+
+
 def test_line_runs_of_odd_rows(spark, odd, empty):
     out = line_runs.without_repeated_runs(clashing(odd, "gone", "own", "row", "n_lines"), min_words=1).collect()
     assert len(out) == len(ODD) and [r["text"] for r in out if r["doc_id"] == 1] == [None]
