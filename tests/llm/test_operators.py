@@ -592,6 +592,27 @@ def test_repeats_query_gives_the_text(spark, sf_dir):
     assert out.count() > 0 and out.where("text <> own").count() == 0
 
 
+def test_repeats_query_holds_to_400_bytes(spark, tmp_path):
+    from plumbline.llm import queries
+
+    rnd = np.random.default_rng(400)
+    own = lambda n: " ".join("".join(rnd.choice(list("abcdeéß"), 6)) for _ in range(n))
+    # Passages of over 50 words in two texts each; the bytes around them differ, so that each is shared at its size.
+    sizes, texts = [360, 394, 398, 399, 400, 401, 420, 500], []
+    for size in sizes:
+        words = " ".join("".join(rnd.choice(list("fghij"), 6)) for _ in range(51))
+        passage = f" {words} ".ljust(size, "k")
+        texts += [f"{own(80)}{a}{passage}{b}{own(80)}" for a, b in ("AB", "CD")]
+    texts += [own(150) for _ in range(4)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in queries.op9_prefix_free(spark, str(tmp_path)).collect()}
+    want = repeats_by_force([t.encode() for t in texts], 400)
+    assert [tuple(out[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(texts))] == [(*x[:3], hashlib.sha256(x[3]).hexdigest()) for x in want]
+    # n_bytes is the input's size, whether a passage goes or stays.
+    assert [out[i]["n_removed"] for i in range(len(texts))] == [n * (n >= 400) for n in sizes for _ in range(2)] + [0] * 4
+    assert all(out[i]["n_bytes"] == len(t.encode()) for i, t in enumerate(texts))
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     import glob
     import time
