@@ -1,5 +1,6 @@
 """Name links against all pairs."""
 
+import datetime as dt
 import difflib
 import re
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 
 import plumbline.registry  # noqa: F401  (before its plans)
-from plumbline.operators.graph import link_names
+from plumbline.operators.graph import link_contained, link_names
 from plumbline.plans.schedule import _named
 
 
@@ -77,3 +78,29 @@ def test_nothing_to_link(spark):
     assert link_names(none, some).collect() == [] and link_names(some.withColumnRenamed("activity", "entity"), some.limit(0)).collect() == []
     with pytest.raises(ValueError):
         link_names(none, some, least=0.5)
+
+
+def test_an_entity_with_two_names_has_both_tiers(spark):
+    """Line items may share a number: SQL keeps each distinct confidence, link_names() the best one."""
+    entities = spark.createDataFrame([(1, "Install old gear, 1996"), (1, "gear, old gear"), (1, "d gear"), (2, "d gear")], "entity int, name string")
+    activities = spark.createDataFrame([(7, "old gear")], "activity int, name string")
+    tiers = link_contained(entities, activities).collect()
+    assert sorted(map(tuple, tiers)) == [(1, 7, 0.85), (1, 7, 0.9), (2, 7, 0.85)]
+    assert sorted(map(tuple, link_names(entities, activities).collect())) == [(1, 7, 0.9), (2, 7, 0.85)]
+
+
+def test_line_items_that_share_a_number(spark, tmp_path):
+    """Two parts of a brand under one number, against SQL."""
+    import duckdb
+
+    from plumbline.registry import ORACLE, QUERIES
+
+    spark.createDataFrame([(1, 1, 5, 4, dt.date(1996, 1, 1)), (1, 1, 6, 4, dt.date(1996, 1, 1))], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(5, "Brand#1", "old gear"), (6, "Brand#1", "ld gear")], "p_partkey long, p_brand string, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    c = duckdb.connect()
+    for t in ("lineitem", "part"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name, n in (("entity_link_contained", 3),):
+        df, sql = QUERIES[name](spark, str(tmp_path)), c.sql(ORACLE[name])
+        got = sorted(tuple(r[k] for k in sql.columns) for r in df.collect())
+        assert len(got) == n and got == sorted(sql.fetchall())
