@@ -100,7 +100,7 @@ def test_line_items_that_share_a_number(spark, tmp_path):
     c = duckdb.connect()
     for t in ("lineitem", "part"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
-    for name, n in (("entity_link_contained", 3),):
+    for name, n in (("entity_link_contained", 3), ("entity_link_methods", 2)):
         df, sql = QUERIES[name](spark, str(tmp_path)), c.sql(ORACLE[name])
         got = sorted(tuple(r[k] for k in sql.columns) for r in df.collect())
         assert len(got) == n and got == sorted(sql.fetchall())
