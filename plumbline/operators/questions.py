@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions.vectors import cosine
+from ..functions.vectors import nearest
 from . import fulltext as T
 
 # References in a text, how many are followed, and how many chunks each may add.
@@ -21,15 +21,10 @@ CONSTANT = 60
 def vector_legs(vectors: DataFrame, probes: DataFrame, k: int, *, floor: float = 0.0, few: int = 4096) -> DataFrame:
     """(query_id, variant_no, id, rank): the k rows of vectors (id, embedding) most alike each probe (query_id, variant_no, probe), above the floor.
 
-    Rows fall into blocks by a hash of their id and every block meets all probes: broadcast where they are few (counted),
-    else dealt to the blocks. Ranks are limited in each task before they are shuffled.
+    Blocks of vectors meet blocks of probes as products of matrices, see vectors.nearest(); few probes (counted) are broadcast.
     """
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = probes.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    if probes.limit(few + 1).count() <= few:
-        asked = F.broadcast(asked)
-    rows = vectors.select("id", F.col("embedding").alias("_e"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("_b"))
-    scored = rows.join(asked, "_b").select("query_id", "variant_no", "id", cosine(F.col("_e"), F.col("probe"), 0.0).alias("s")).where(F.col("s") > floor)
+    rows = vectors.select("id", F.col("embedding").alias("_e"))
+    scored = nearest(rows, probes.select("query_id", "variant_no", "probe"), k, floor=floor, most=few).withColumnRenamed("similarity", "s")
     rank = F.row_number().over(Window.partitionBy("query_id", "variant_no").orderBy(F.desc(F.round("s", 9)), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "variant_no", "id", "rank")
 

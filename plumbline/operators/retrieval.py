@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions.vectors import cosine, vector
+from ..functions.vectors import cosine, nearest, vector
 
 
 def vector_topk(df: DataFrame, query: Sequence[float], k: int = 10, *, id_col: str = "vec_id", embedding: str = "embedding", floor: float | None = None, inclusive: bool = False, where: Column | None = None) -> DataFrame:
@@ -30,18 +30,11 @@ def vector_topk(df: DataFrame, query: Sequence[float], k: int = 10, *, id_col: s
 def vector_topk_batch(df: DataFrame, probes: DataFrame, k: int = 5, *, id_col: str = "vec_id", embedding: str = "embedding", most: int = 4096) -> DataFrame:
     """The k rows most alike each probe (probe_id, probe), without the probe's own row; ranks are limited in each task.
 
-    Up to ``most`` probes (counted first) are broadcast. More meet the rows block by block: rows fall into as many blocks as
-    there are shuffle partitions, by a hash of their id, and each block gets all probes.
+    Blocks of rows meet blocks of probes as products of matrices, see vectors.nearest(); up to ``most`` probes (counted first) are
+    broadcast.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(embedding).alias("_e"))
-    if probes.limit(most + 1).count() <= most:
-        pairs = rows.join(F.broadcast(probes), F.col("id") != F.col("probe_id"))
-    else:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        asked = probes.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        pairs = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).join(asked, "_b").where(F.col("id") != F.col("probe_id"))
-    scored = pairs.select("probe_id", "id", cosine(F.col("_e"), F.col("probe"), 0.0).alias("similarity"))
+    scored = nearest(rows, probes.select("probe_id", "probe"), k, own="probe_id", most=most)
     rank = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.desc("similarity"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
