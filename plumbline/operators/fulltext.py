@@ -8,20 +8,34 @@ from pyspark.sql.window import Window
 
 from ..functions.stems import is_stop_word, stem, words_of
 from ..functions.text import clean_query
+from ..session import written
 
 #: What a cover without other words in it adds to a rank.
 COVER = 0.1
 
 
-def positions(df: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def positions(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", asked: DataFrame | None = None, few: int = 100_000) -> DataFrame:
     """The index: (id, lexeme, positions) for each stem of each text, positions ascending from 1.
 
-    Stop words are left out but keep their places. The key of the shuffle is (id, word), so frequent words are spread;
-    write the result partitioned or bucketed by lexeme, and queries read only the lexemes that they ask for.
+    Stop words are left out but keep their places. Whole texts are dealt by id once and their words meet there, so no place is
+    shuffled; write the result partitioned or bucketed by lexeme, and queries read only the lexemes that they ask for.
+
+    With asked, terms as search_terms() gives them, only their lexemes are in the index, which is then a table: the distinct words
+    are stemmed once, those asked for (broadcast up to few, counted) are picked from the texts, and nothing else is placed.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.posexplode(words_of(F.col(text))).alias("p", "word")).where(~is_stop_word(F.col("word")))
-    own = rows.groupBy("id", "word").agg(F.collect_list(F.col("p") + 1).alias("at"))
-    return own.groupBy("id", stem(F.col("word")).alias("lexeme")).agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
+    texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    if asked is None:
+        rows = texts.repartition("id").select("id", F.posexplode(words_of(F.col("text"))).alias("p", "word")).where(~is_stop_word(F.col("word")))
+        own = rows.groupBy("id", "word").agg(F.collect_list(F.col("p") + 1).alias("at"))
+        return own.groupBy("id", stem(F.col("word")).alias("lexeme")).agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = texts.select(F.explode(words_of(F.col("text"))).alias("word")).where(~is_stop_word(F.col("word"))).distinct()
+    # A table, as the join's filter on lexemes would be moved down to stem every place of every word.
+    words = written(words.repartition(n, "word"), "vocabulary")
+    held = written(words.select("word", stem(F.col("word")).alias("lexeme")).join(asked.select("lexeme").distinct(), "lexeme", "left_semi"), "words")
+    held = F.broadcast(held) if held.limit(few + 1).count() <= few else held
+    rows = texts.select("id", F.posexplode(words_of(F.col("text"))).alias("p", "word")).join(held, "word")
+    return written(rows.groupBy("id", "lexeme").agg(F.array_sort(F.collect_list(F.col("p") + 1)).alias("positions")), "positions")
 
 
 def search_terms(queries: DataFrame, *, key: str = "query_id", text: str = "query") -> DataFrame:
@@ -82,11 +96,23 @@ def _cover_density(found: Column, alternatives: Column, entries: Column) -> Colu
 def search(index: DataFrame, terms: DataFrame, k: int | None = 10, *, few: int = 100_000) -> DataFrame:
     """(query_id, id, rank, rank_score): texts that some alternative of a query fits, by cover density, ties to the smaller id.
 
-    Only the index is read. Up to ``few`` terms (counted) are broadcast, more are joined by lexeme; what meets is dealt once
-    by (query, id), where the items of a query are compared in arrays, as long as a text's places of the words asked for.
+    Only the index is read. An alternative needs all of its words, so a text is a candidate only where the rarest of them stands,
+    and its places are read only if it has the others too. Up to ``few`` terms (counted) are broadcast, more are joined by lexeme;
+    what meets is dealt once by (query, id), where the items of a query are compared in arrays, as long as a text's places of
+    the words asked for.
     """
     small = terms.limit(few + 1).count() <= few
-    hits = index.join(F.broadcast(terms) if small else terms, "lexeme").repartition("query_id", "id")
+    held = lambda df: F.broadcast(df) if small else df
+    needs = terms.where(~F.col("without")).groupBy("query_id", "alt").agg(F.collect_set("lexeme").alias("needs"))
+    read = index.select("id", "lexeme").join(held(terms.select("lexeme").distinct()), "lexeme", "left_semi")
+    seen = read.groupBy("lexeme").agg(F.count("*").alias("seen"))
+    each = needs.select("query_id", "alt", "needs", F.explode("needs").alias("lexeme")).join(seen, "lexeme", "left")
+    rare = each.groupBy("query_id", "alt", "needs").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "lexeme")).alias("r")).where("r.seen > 0").select("query_id", "needs", "r.lexeme")
+    has = read.groupBy("id").agg(F.collect_set("lexeme").alias("has")).withColumnRenamed("id", "_id")
+    met = read.join(held(rare), "lexeme").join(has, F.col("id").eqNullSafe(F.col("_id")))
+    fit = met.where(F.size(F.array_except("needs", "has")) == 0).select(F.col("query_id").alias("_q"), F.col("id").alias("_id")).distinct()
+    own = fit.join(held(terms), F.col("_q").eqNullSafe(F.col("query_id"))).drop("_q").withColumnRenamed("lexeme", "_l")
+    hits = index.join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("lexeme") == F.col("_l"))).drop("_id", "_l").repartition("query_id", "id")
     part = F.collect_list(F.struct("off", "positions"))
     items = hits.groupBy("query_id", "id", "alt", "item", "without", "n_off", "last_off", "n_items").agg(part.alias("parts"))
     items = items.withColumn("starts", F.when(F.size("parts") == F.col("n_off"), _starts(F.col("parts"))).otherwise(F.array().cast("array<int>")))
@@ -112,10 +138,14 @@ def search(index: DataFrame, terms: DataFrame, k: int | None = 10, *, few: int =
     return ranked.where(F.col("rank") <= k) if k else ranked
 
 
+def question_terms(questions: DataFrame, *, key: str = "query_id", text: str = "query") -> DataFrame:
+    """search_terms() of questions in plain language: question words and punctuation go first."""
+    return search_terms(questions.select(F.col(key).alias("query_id"), clean_query(F.col(text)).alias("query")))
+
+
 def keyword_search(index: DataFrame, questions: DataFrame, k: int = 10, *, key: str = "query_id", text: str = "query") -> DataFrame:
-    """search() for questions in plain language: question words and punctuation go first."""
-    cleaned = questions.select(F.col(key).alias("query_id"), clean_query(F.col(text)).alias("query"))
-    return search(index, search_terms(cleaned), k)
+    """search() for questions in plain language."""
+    return search(index, question_terms(questions, key=key, text=text), k)
 
 
 def within(index: DataFrame, rows: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.vectors import nearest
+from ..session import written
 from . import fulltext as T
 
 # References in a text, how many are followed, and how many chunks each may add.
@@ -38,18 +39,22 @@ def best_of_sections(scored: DataFrame, sections: DataFrame, keys: list[str], fi
     return own.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k).drop("_g", "_r")
 
 
+def asked_terms(variants: DataFrame) -> DataFrame:
+    """What the variants' keyword legs ask for, as search_terms() gives it, by the struct (query_id, variant_no)."""
+    return T.search_terms(variants.select(F.struct("query_id", "variant_no").alias("query_id"), X.clean_query(F.col("variant")).alias("query")))
+
+
 def retrieve(variants: DataFrame, index: DataFrame, vectors: DataFrame, probes: DataFrame, sections: DataFrame, k: int) -> DataFrame:
     """(query_id, id, section, rank, score, n_variants): the k best chunks of each question, one for each section.
 
-    variants: (query_id, variant_no, variant); index: as fulltext.positions(); vectors and probes: as vector_legs();
+    variants: (query_id, variant_no, variant); index: as fulltext.positions(), with the lexemes of asked_terms() at least; vectors and probes: as vector_legs();
     sections: (id, section). Each variant fuses its legs, max(5 k, 20) rows deep, with the weights that its kind asks for; the variants'
     lists are fused again with equal weights, so chunks that several of them find come first.
     """
     pool, keys = max(5 * k, 20), ["query_id", "variant_no"]
-    kinds = variants.select(*keys, X.classify_query(F.col("variant")).alias("c"), X.clean_query(F.col("variant")).alias("q"))
+    kinds = variants.select(*keys, X.classify_query(F.col("variant")).alias("c"))
     near = vector_legs(vectors, probes, pool).join(kinds.select(*keys, F.col("c.vector_weight").alias("w")), keys).withColumn("leg", F.lit(0))
-    asked = kinds.select(F.struct(*keys).alias("query_id"), F.col("q").alias("query"))
-    found = T.search(index, T.search_terms(asked), pool).select("query_id.*", "id", "rank")
+    found = T.search(index, asked_terms(variants), pool).select("query_id.*", "id", "rank")
     words = found.join(kinds.select(*keys, F.col("c.keyword_weight").alias("w")), keys).withColumn("leg", F.lit(1))
     both = near.unionByName(words).groupBy(*keys, "id").agg(F.sum(F.col("w") / (CONSTANT + F.col("rank"))).alias("score"), F.min(F.struct("leg", "rank")).alias("first"))
     lists = best_of_sections(both, sections, keys, ["first"], k)
@@ -57,19 +62,21 @@ def retrieve(variants: DataFrame, index: DataFrame, vectors: DataFrame, probes:
     return best_of_sections(merged, sections, ["query_id"], ["first"], k).select("query_id", "id", "section", "rank", "score", "n_variants")
 
 
-def follow_references(found: DataFrame, index: DataFrame, chunks: DataFrame, *, most: int = MOST_REFERENCES, each: int = PER_REFERENCE) -> DataFrame:
+def follow_references(found: DataFrame, index: DataFrame | None, chunks: DataFrame, *, most: int = MOST_REFERENCES, each: int = PER_REFERENCE) -> DataFrame:
     """(query_id, ref, id, section, place): chunks of the sections that the found ones (query_id, id, section, rank) name most often.
 
     chunks: (id, section, text). References to sections that are there already aren't followed; of the others the most frequent,
-    then the first named, are searched by keyword, and each section is added once.
+    then the first named, are searched by keyword, and each section is added once. Without an index the chunks' texts are read for
+    what is asked. What is found should be a table, as it is read several times.
     """
     texts = found.select("query_id", "id", "rank").join(chunks.select("id", "text"), "id")
     named = texts.select("query_id", "rank", F.posexplode(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(1))).alias("p", "ref"))
     there = found.select("query_id", F.col("section").alias("ref")).where("ref IS NOT NULL").distinct()
     counts = named.groupBy("query_id", "ref").agg(F.count("*").alias("n"), F.min(F.struct("rank", "p")).alias("first")).join(there, ["query_id", "ref"], "left_anti")
-    top = counts.withColumn("ref_no", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "first"))).where(F.col("ref_no") <= most)
+    top = written(counts.withColumn("ref_no", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "first"))).where(F.col("ref_no") <= most), "references")
     asked = top.select("ref").distinct().select(F.col("ref").alias("query_id"), F.col("ref").alias("query"))
-    hits = T.search(index, T.search_terms(asked), each).select(F.col("query_id").alias("ref"), "id", F.col("rank").alias("hit"))
+    terms = T.search_terms(asked)
+    hits = T.search(T.positions(chunks, id_col="id", asked=terms) if index is None else index, terms, each).select(F.col("query_id").alias("ref"), "id", F.col("rank").alias("hit"))
     added = top.select("query_id", "ref", "ref_no").join(hits, "ref").join(chunks.select("id", "section"), "id")
     key = F.coalesce(F.nullif("section", F.lit("")), F.col("id").cast("string"))
     added = added.withColumn("_g", key).join(there.withColumnRenamed("ref", "_g"), ["query_id", "_g"], "left_anti")

@@ -11,6 +11,7 @@ from ..functions.text import QUESTION_WORDS
 from ..operators import fulltext as X
 from ..operators import questions as Q
 from ..registry import query, table
+from ..session import written
 from .fulltext import _INDEX, _RANKED
 
 _K = 5
@@ -41,8 +42,8 @@ _REFS_SQL = f"""{_BASE_SQL}, nm AS (SELECT query_id, rank, unnest(regexp_extract
     a1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ref_no, hit) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY ref_no, hit) AS rn FROM ad) WHERE rn = 1)"""
 
 
-def _setup(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Chunks, questions, what is retrieved, the index."""
+def _setup(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, questions, what is retrieved (a table)."""
     i = F.col("doc_id")
     number = lambda a, b: F.concat((F.lit(100) + a % 20).cast("string"), F.lit("."), F.lpad((b % 7).cast("string"), 2, "0"))
     chunks = table(spark, d, "documents").select(i.alias("id"), number(i, i).alias("section"), F.concat("text", F.lit(" See "), number(i * 7, i * 3), F.lit(" and "), number(F.floor(i / 7), F.floor(i / 7)), F.lit(".")).alias("text"))
@@ -53,8 +54,8 @@ def _setup(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     variants = expand(questions, "query").select("query_id", F.col("variant_no").cast("int").alias("variant_no"), "variant")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     probes = variants.select("query_id", "variant_no", (F.col("query_id") + F.col("variant_no")).alias("v")).join(vectors.select(F.col("id").alias("v"), F.col("embedding").alias("probe")), "v").drop("v")
-    index = X.positions(chunks, id_col="id")
-    return chunks, questions, Q.retrieve(variants, index, vectors, probes, chunks.select("id", "section"), _K), index
+    index = X.positions(chunks, id_col="id", asked=Q.asked_terms(variants))
+    return chunks, questions, written(Q.retrieve(variants, index, vectors, probes, chunks.select("id", "section"), _K), "found")
 
 
 @query("question_retrieval", f"{_BASE_SQL} SELECT query_id, id, section, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, n_variants FROM main")
@@ -66,8 +67,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("question_references", f"{_REFS_SQL} SELECT query_id, ref, id, section, CAST(place AS INTEGER) AS place FROM a1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """What the found chunks refer to, for all questions at once."""
-    chunks, _, found, index = _setup(spark, d)
-    return Q.follow_references(found, index, chunks)
+    chunks, _, found = _setup(spark, d)
+    return Q.follow_references(found, None, chunks)
 
 
 @query("question_answers", f"""{_REFS_SQL}, al AS (SELECT query_id, 0 AS part, rank AS place, id, section, text FROM main UNION ALL SELECT query_id, 1, place, id, section, text FROM a1),
@@ -78,10 +79,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, CASE WHEN query_id % 4 = 1 THEN 'keyword-heavy' ELSE 'semantic' END AS kind, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_amendments, 0) AS n_amendments, md5(concat_ws(chr(10) || chr(10), head, body)) AS context, coalesce(n_chunks, 0) AS n_verified FROM qu LEFT JOIN cx USING (query_id) LEFT JOIN ax USING (query_id)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Every question from its variants to its checked citations, in one job."""
-    chunks, questions, found, index = _setup(spark, d)
+    chunks, questions, found = _setup(spark, d)
     c = F.col("o_custkey")
     number = F.concat((F.lit(100) + c % 25).cast("string"), F.lit("."), F.lpad((c % 9).cast("string"), 2, "0"))
     amendments = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(number.alias("section"), F.col("o_orderdate").cast("date").alias("day"), F.concat(F.lit("Change "), F.col("o_orderkey").cast("string")).alias("text"))
-    out = Q.answer(questions, found, Q.follow_references(found, index, chunks), chunks, amendments)
+    out = Q.answer(questions, found, written(Q.follow_references(found, None, chunks), "added"), chunks, amendments)
     verified = F.size(F.filter("citations", lambda x: x["verified"]))
     return out.select("query_id", "kind", F.col("n_chunks").cast("long").alias("n_chunks"), F.col("n_amendments").cast("long").alias("n_amendments"), F.md5(F.col("context").cast("binary")).alias("context"), verified.cast("long").alias("n_verified"))

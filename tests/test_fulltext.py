@@ -80,3 +80,22 @@ def test_odd_texts(spark):
     only = X.search(X.within(index, spark.createDataFrame([(5,), (None,)], "doc_id int")), X.search_terms(spark.createDataFrame([(1, "alpha")], "query_id int, query string")), 8)
     assert [r["id"] for r in only.collect()] == [5]
     assert list(itertools.chain(X.search(index.limit(0), X.search_terms(spark.createDataFrame([(1, "alpha")], "query_id int, query string"))).collect())) == []
+
+
+def test_index_of_what_is_asked(spark):
+    """Only the lexemes asked for are placed, and a query of a frequent and a rare word reads places only where both stand."""
+    rows = [(i, "bonds " * 3 + ("permits bond" if i == 7 else "filler")) for i in range(40)] + [(None, "permit bonds"), (90, "permit")]
+    docs, terms = spark.createDataFrame(rows, "doc_id int, text string"), X.search_terms(spark.createDataFrame([(1, "permit bond"), (None, "permit bond or nowhere"), (3, "bond nowhere")], "query_id int, query string"))
+    whole, asked = X.positions(docs), X.positions(docs, asked=terms)
+    assert {r["lexeme"] for r in asked.collect()} == {"bond", "permit"}
+    assert sorted(map(repr, whole.where("lexeme IN ('bond', 'permit')").collect())) == sorted(map(repr, asked.collect())) == sorted(map(repr, X.positions(docs, asked=terms, few=0).collect()))
+    one, two = (sorted(map(repr, X.search(x, terms, None).select("query_id", "id", "rank", "rank_score").collect())) for x in (whole, asked))
+    assert one == two and len(one) == 4
+    plan = X.search(asked, terms, None)._jdf.queryExecution().toString()
+    assert "array_except" in plan
+
+
+def test_places_are_not_shuffled(spark):
+    """The whole index deals texts by id and nothing after: places and words stay where their text is."""
+    plan = X.positions(spark.createDataFrame([(1, "a bond")], "doc_id int, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
