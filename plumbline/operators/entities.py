@@ -150,18 +150,21 @@ def _by_automaton(texts: DataFrame, names: DataFrame, keys: list[str]) -> DataFr
 
 def _by_rarest_word(texts: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
     n = names.select("name").distinct().withColumn("parts", F.split("name", " "))
-    most = n.agg(F.max(F.size("parts"))).first()[0] or 1
     part = n.select("name", "parts", F.posexplode("parts").alias("off", "word"))
-    places = texts.select(*keys, "id", "words", F.posexplode("words").alias("pos", "word")).join(part.select("word").distinct(), "word", "left_semi")
-    counts = places.groupBy("word").agg(F.count("*").alias("seen"))
+    counts = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("seen"))
     # A name with a word that no text has is nowhere.
     rare = part.join(counts, "word", "left").groupBy("name", "parts").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "off", "word")).alias("r")).where("r.seen > 0")
-    asked = rare.select("name", "parts", F.col("r.off").alias("off"), F.col("r.word").alias("word"))
-    low = F.greatest(F.lit(0), F.col("pos") - most + 1)
-    near = places.join(asked.select("word").distinct(), "word", "left_semi").select(*keys, "id", "pos", "word", low.alias("low"), F.slice("words", low + 1, F.lit(2 * most - 1)).alias("near"))
-    at = F.col("pos") - F.col("off")
-    hit = near.join(asked, "word").where(at >= F.col("low")).where(F.slice("near", F.greatest(F.lit(1), at - F.col("low") + 1), F.size("parts")) == F.col("parts"))
-    return hit.groupBy(*keys, "id", "name").agg(F.count("*").alias("n"), F.min(at).cast("int").alias("first"))
+    asked = rare.select("name", "parts", F.col("r.word").alias("word"))
+    # Only numbers of rows and words are shuffled, each word of a text once; a text goes once to the names that it may have.
+    rows = written(texts.select(*keys, "id", "words").withColumn("_row", F.monotonically_increasing_id()), "texts")
+    has = rows.select("_row", F.explode(F.array_distinct("words")).alias("word"))
+    maybe = has.join(asked, "word").groupBy("_row").agg(F.collect_list(F.struct("name", "parts")).alias("names"))
+    held = rows.join(maybe, "_row").withColumn("line", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
+    own = F.filter("names", lambda x: F.col("line").contains(F.concat(F.lit(" "), x["name"], F.lit(" "))))
+    fit = held.select(*keys, "id", "words", F.explode(own).alias("x")).select(*keys, "id", "words", "x.*", F.get("x.parts", F.lit(0)).alias("head"), F.size("x.parts").alias("size"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (F.get("words", i) == F.col("head")) & (F.slice("words", i + 1, F.col("size")) == F.col("parts")))
+    at = fit.select(*keys, "id", "name", starts.alias("at")).where(F.size("at") > 0)
+    return at.groupBy(*keys, "id", "name").agg(F.sum(F.size("at")).alias("n"), F.min(F.get("at", F.lit(0))).cast("int").alias("first"))
 
 
 def mentions(texts: DataFrame, names: DataFrame, *, within: list[str] | None = None, most_bytes: int = 32 << 20) -> DataFrame:
@@ -171,8 +174,8 @@ def mentions(texts: DataFrame, names: DataFrame, *, within: list[str] | None = N
     don't matter; mentions may overlap, and equal names each count. Null and wordless texts and names have none.
 
     Up to most_bytes of names, counted first, each task reads its texts once with an automaton of all names. Beyond that
-    nothing is broadcast: names meet the texts under their rarest word, so a frequent word that many names share joins nothing,
-    and the words around that place decide; a place carries only as many words as the longest name has.
+    nothing is broadcast: names meet the texts under their rarest word, each word of a text once, so a frequent word that many names
+    share joins nothing; a text then goes once, with the names that it may have, and its own words decide.
     """
     keys = within or []
     t = texts.select(*keys, "id", name_words(F.col("text")).alias("words")).where(F.size("words") > 0)

@@ -75,3 +75,13 @@ def test_mentions_are_all_places(spark, most_bytes):
     assert found.columns == ["k", "id", "name_id", "n", "first"]
     assert {tuple(r) for r in found.collect()} == wanted and found.count() == len(wanted)
     assert E.mentions(t, n.limit(0), within=["k"], most_bytes=most_bytes).count() == E.mentions(t.limit(0), n, within=["k"], most_bytes=most_bytes).count() == 0
+
+
+def test_long_texts_are_not_shuffled_by_place(spark):
+    """Beyond the bound, the words of a text that are shuffled carry its number, not the text itself."""
+    texts = spark.createDataFrame([(i, "alpha beta gamma " * 2000 + "rare name alpha") for i in range(20)], "id int, text string")
+    names = spark.createDataFrame([(1, "Rare name"), (2, "alpha, alpha"), (3, "gamma alpha"), (4, "nowhere alpha")], "name_id int, name string")
+    far = E.mentions(texts, names, most_bytes=0)
+    assert sorted(map(tuple, far.collect())) == sorted(map(tuple, E.mentions(texts, names).collect()))
+    plan = far._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(words" not in plan and far.count() == 40
