@@ -50,3 +50,10 @@ def test_many_differences_and_excluded_activities(spark):
 
 def test_empty(spark):
     assert R.schedule_texts(R.schedule_lines(spark.createDataFrame([], ACTS))).count() == 0
+
+
+def test_sections_share_the_activities(spark, sf_dir):
+    """Line items are put in order once, not in the plan of each section."""
+    from plumbline.registry import QUERIES
+
+    assert "l_linenumber" not in QUERIES["schedule_sections"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
