@@ -104,3 +104,15 @@ def test_line_items_that_share_a_number(spark, tmp_path):
         df, sql = QUERIES[name](spark, str(tmp_path)), c.sql(ORACLE[name])
         got = sorted(tuple(r[k] for k in sql.columns) for r in df.collect())
         assert len(got) == n and got == sorted(sql.fetchall())
+
+
+def test_pairs_of_dated_words_are_not_shuffled(spark):
+    """Pairs that share words and days are one row each, without a shuffle of pairs."""
+    from plumbline.operators.graph import link_dated_words
+
+    day = dt.date(1996, 1, 5)
+    entities = spark.createDataFrame([(1, "old bridge drain", day), (1, "bridge", dt.date(1996, 1, 7)), (2, "bridge", dt.date(1997, 1, 1)), (3, None, day)], "entity int, name string, date date")
+    activities = spark.createDataFrame([(7, "drain bridge", day), (7, "drain", dt.date(1996, 1, 8)), (8, "bridge", dt.date(1996, 1, 10))], "activity int, name string, date date")
+    found = link_dated_words(entities, activities)
+    assert sorted(map(tuple, found.collect())) == [(1, 7, 0.5), (1, 8, 0.5)]
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
