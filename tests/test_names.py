@@ -116,3 +116,10 @@ def test_pairs_of_dated_words_are_not_shuffled(spark):
     found = link_dated_words(entities, activities)
     assert sorted(map(tuple, found.collect())) == [(1, 7, 0.5), (1, 8, 0.5)]
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_days_are_counted_before_they_meet(spark, sf_dir):
+    from plumbline.registry import QUERIES
+
+    plan = QUERIES["entity_link_date_band"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 3
